@@ -1,9 +1,10 @@
 """Encoding by distinct white-space pre-tokens.
 
 The vocabulary's pre-tokenizer never lets a piece cross white space, so the ids of a text
-are the ids of its white-space separated chunks, one after the other. Each worker process keeps
-what it has encoded, so a chunk is encoded once and later looked up. Only ASCII white space
-splits; rarer white space stays inside a chunk and is left to the library.
+are the ids of its white-space separated chunks, one after the other; it also parts letters from the
+punctuation behind them and ignores case. Each worker process keeps what it has encoded, so a distinct
+pre-token is encoded once and later looked up. Only ASCII white space splits; rarer white space
+stays inside a chunk and is left to the library.
 """
 
 from __future__ import annotations
@@ -14,11 +15,19 @@ import numpy as np
 
 from .common import tokenizer_path
 
-#: Chunks a worker process remembers; beyond it the memory starts anew. Results don't depend on it.
-REMEMBERED = 600_000
+#: Pre-tokens a worker process remembers; beyond it the memory starts anew. Results don't depend on it.
+REMEMBERED = 1_500_000
+PUNCTUATION = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+#: Words that are handed to the library as one text.
+TOGETHER = 50
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
+def chunks_of(text: bytes) -> list[bytes]:
+    """White-space separated chunks; lower-cased unless a special token could be inside."""
+    return (text if b"<|" in text else text.lower()).split()
+
+
 class ChunkEncoder:
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,30 +37,53 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.ids: dict[bytes, bytes] = {}
-        self.counts: dict[bytes, int] = {}
-
-    def _encode(self, chunks: list[bytes]):
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        for at in range(0, len(texts), 5000):
-            yield from zip(chunks[at : at + 5000], self.library.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False), strict=True)
-
-    def learn_counts(self, chunks: set[bytes]) -> dict[bytes, int]:
-        """Number of pieces of each chunk, each distinct chunk encoded once."""
-        if len(self.counts) > REMEMBERED:
-            self.counts.clear()
-        new = [c for c in chunks if c not in self.counts]
-        for c, e in self._encode(new):
-            self.counts[c] = len(e.ids)
-        return self.counts
-
-    def learn_ids(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+
+    def _words(self, words: list[str]):
+        """Ids of words of letters only: each is one pre-token, so many go into one text."""
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.asarray(e.ids, dtype="<u4"), np.asarray(e.word_ids, dtype=np.int64)
+            cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
+            if cuts[-1] != len(ids) or of[-1] != len(part) - 1:  # not one pre-token each after all
+                for w in part:
+                    yield w, np.asarray(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            raw = ids.tobytes()
+            for k, w in enumerate(part):
+                yield w, raw[4 * cuts[k] : 4 * cuts[k + 1]]
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         """Ids of each chunk as little-endian unsigned 32-bit integers."""
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-        new = [c for c in chunks if c not in self.ids]
-        for c, e in self._encode(new):
-            self.ids[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return self.ids
+        known = self.ids
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [c for c in chunks if c not in known]
+        apart: dict[bytes, tuple[bytes, bytes]] = {}
+        words: dict[bytes, str] = {}
+        other: set[bytes] = set()
+        for c in new:
+            core = c.rstrip(PUNCTUATION)
+            text = core.decode("utf-8", "replace")
+            if text.isalpha() and text.isascii() | (len(text) > 1):
+                apart[c] = (core, c[len(core) :])
+                if core not in known:
+                    words[core] = text
+                if len(core) < len(c) and c[len(core) :] not in known:
+                    other.add(c[len(core) :])
+            else:
+                other.add(c)
+        for (core, _), (_, ids) in zip(words.items(), self._words(list(words.values())), strict=True):
+            known[core] = ids
+        rest = list(other)
+        for at in range(0, len(rest), 5000):
+            part = rest[at : at + 5000]
+            for c, e in zip(part, self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
+                known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+        for c, (core, tail) in apart.items():
+            if tail:
+                known[c] = known[core] + known[tail]
+        return known
 
 
 def encoder(tokenizer: str) -> ChunkEncoder:
@@ -61,19 +93,19 @@ def encoder(tokenizer: str) -> ChunkEncoder:
     return _encoders[tokenizer]
 
 
-def encoded(texts: list[bytes | None], tokenizer: str):
-    """Id bytes of each text, in blocks of about 4 MB of text so that memory stays bounded."""
+def encoded(texts, tokenizer: str):
+    """Id bytes of each text (null: none), in blocks of about 4 MB of text so that memory stays bounded."""
     own = encoder(tokenizer)
     block: list[list[bytes]] = []
     held = 0
 
     def flush():
-        ids = own.learn_ids(set().union(*block)) if block else {}
+        ids = own.learn(set().union(*block)) if block else {}
         for chunks in block:
             yield b"".join(map(ids.__getitem__, chunks))
 
     for text in texts:
-        block.append((text or b"").split())
+        block.append(chunks_of(text or b""))
         held += len(text or b"")
         if held > 4_000_000:
             yield from flush()

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import encoder
+from .pretokens import chunks_of, encoder
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,7 +27,9 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
         own = encoder(tokenizer)
 
         def rows(ids, freqs, sizes):
-            pieces = own.learn_counts(set().union(*freqs))
+            distinct = set().union(*freqs)
+            ids_of = own.learn(distinct)
+            pieces = {c: len(ids_of[c]) // 4 for c in distinct}
             n = [sum(k * pieces[c] for c, k in f.items()) for f in freqs]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
@@ -36,7 +38,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or b""
                 ids.append(i)
-                freqs.append(Counter(text.split()))
+                freqs.append(Counter(chunks_of(text)))
                 sizes.append(len(text))
                 held += len(text)
                 if held > 4_000_000:
