@@ -4,19 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard_join import jaccard_components
 from .packing import pack
+from .pii import pseudonymise
 from .token_counts import token_counts
 from .token_files import token_file_roundtrip
+from .url_filter import judge
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -26,7 +41,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_token_counts, op9_best_fit_packing, op10_token_files)}
+    own = (op2_url_filter, op6_pii_pseudonyms, op7_token_counts, op8_jaccard_join, op9_best_fit_packing, op10_token_files)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
