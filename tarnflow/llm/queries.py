@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard_join import jaccard_components
 from .packing import pack
 from .pii import pseudonymise
+from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_files import token_file_roundtrip
 from .url_filter import judge
@@ -20,6 +21,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,7 +46,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op2_url_filter, op6_pii_pseudonyms, op7_token_counts, op8_jaccard_join, op9_best_fit_packing, op10_token_files)
+    own = (op2_url_filter, op3_suffix_dedup, op6_pii_pseudonyms, op7_token_counts, op8_jaccard_join, op9_best_fit_packing, op10_token_files)
     return {f.__name__: f for f in own}
 
 
