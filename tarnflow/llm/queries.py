@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import leaks
 from .jaccard_join import jaccard_components
 from .packing import pack
 from .pii import pseudonymise
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op2_url_filter, op3_suffix_dedup, op5_vector_dedup, op6_pii_pseudonyms, op7_token_counts, op8_jaccard_join, op9_best_fit_packing, op10_token_files)
+    own = (op1_benchmark_leaks, op2_url_filter, op3_suffix_dedup, op5_vector_dedup, op6_pii_pseudonyms, op7_token_counts, op8_jaccard_join, op9_best_fit_packing, op10_token_files)
     return {f.__name__: f for f in own}
 
 
