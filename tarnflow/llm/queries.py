@@ -11,6 +11,7 @@ from .pii import pseudonymise
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_files import token_file_roundtrip
+from .toxicity import toxicity
 from .url_filter import judge
 from .vector_dedup import near_vectors
 
@@ -31,6 +32,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -56,7 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_benchmark_leaks, op2_url_filter, op3_suffix_dedup, op5_vector_dedup, op6_pii_pseudonyms, op7_token_counts, op8_jaccard_join, op9_best_fit_packing, op10_token_files)
+    own = (op1_benchmark_leaks, op2_url_filter, op3_suffix_dedup, op4_toxicity, op5_vector_dedup, op6_pii_pseudonyms, op7_token_counts, op8_jaccard_join, op9_best_fit_packing, op10_token_files)
     return {f.__name__: f for f in own}
 
 
