@@ -14,50 +14,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import pack_ints, unpack_ints
+from .packed import pack_array, pack_ints, unpack_array, unpack_ints
 
-ANSWERS = "answers array<struct<r:int,more:binary,first:binary>>"
+
+def _cuts(values: np.ndarray, ranges: int) -> list[int]:
+    edges = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
+    return [0, *np.searchsorted(values, edges).tolist(), len(values)]
 
 
-def ask(parts: DataFrame, fingerprints: Callable[[dict], np.ndarray], ranges: int) -> DataFrame:
-    """`(block, answers)` for `parts(block, ...)`; `fingerprints` gives a block's sorted distinct values from its row."""
+def ask(parts: DataFrame, fingerprints: Callable[[dict], tuple[np.ndarray, np.ndarray | None]], ranges: int) -> DataFrame:
+    """`(block, answers)` for `parts(block, ...)`.
+
+    `fingerprints` gives a block's sorted distinct values from its row, and how often each occurs there (None: once
+    each). An answer holds a bit for each value that occurs twice or more in all, the totals of those, and
+    a bit for each value of which this block is the first holder.
+    """
 
     def send(batches: Iterable[pa.RecordBatch]):
-        edges = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                values = fingerprints(row)
-                cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
-                out = [(r, pack_ints(values[a:b])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([row["block"]] * len(out), pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["r", "block", "own"])
+                values, n = fingerprints(row)
+                cuts = _cuts(values, ranges)
+                out = [(r, pack_ints(values[a:b]), None if n is None else pack_array(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([row["block"]] * len(out), pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["r", "block", "own", "n"])
 
     def answer(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         sets = [unpack_ints(x.as_py()) for x in table.column("own")]
         values = np.concatenate(sets)
+        n = np.concatenate([np.ones(len(s), np.uint32) if x.as_py() is None else unpack_array(x.as_py(), np.uint32) for s, x in zip(sets, table.column("n"), strict=True)])
         order = np.argsort(values, kind="stable")  # of equal values the one of the first block comes first
         ranked = values[order]
         start = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        alone = start & np.concatenate([start[1:], [True]])
-        more, first = np.empty(len(values), dtype=bool), np.empty(len(values), dtype=bool)
-        more[order], first[order] = ~alone, start
-        ends = np.cumsum([len(s) for s in sets])
-        bits = [[np.packbits(x[e - len(s) : e]).tobytes() for s, e in zip(sets, ends, strict=True)] for x in (more, first)]
-        return pa.table({"r": table.column("r"), "block": table.column("block"), "more": pa.array(bits[0], pa.binary()), "first": pa.array(bits[1], pa.binary())})
+        at = np.flatnonzero(start)
+        total = np.empty(len(values), dtype=np.int64)
+        total[order] = np.repeat(np.add.reduceat(n[order].astype(np.int64), at), np.diff(np.append(at, len(values))))
+        first = np.empty(len(values), dtype=bool)
+        first[order] = start
+        more = total > 1
+        ends = np.cumsum([len(s) for s in sets]).tolist()
+        spans = [(e - len(s), e) for s, e in zip(sets, ends, strict=True)]
+        bits = [[pack_array(np.packbits(x[a:e])) for a, e in spans] for x in (more, first)]
+        totals = [pack_array(np.minimum(total[a:e][more[a:e]], 2**32 - 1).astype(np.uint32)) for a, e in spans]
+        return pa.table({"r": table.column("r"), "block": table.column("block"), "more": pa.array(bits[0], pa.binary()), "first": pa.array(bits[1], pa.binary()), "totals": pa.array(totals, pa.binary())})
 
-    sent = parts.mapInArrow(send, "r int, block string, own binary")
-    back = sent.groupBy("r").applyInArrow(answer, "r int, block string, more binary, first binary")
-    return back.groupBy("block").agg(F.collect_list(F.struct("r", "more", "first")).alias("answers"))
+    sent = parts.mapInArrow(send, "r int, block string, own binary, n binary")
+    back = sent.groupBy("r").applyInArrow(answer, "r int, block string, more binary, first binary, totals binary")
+    return back.groupBy("block").agg(F.collect_list(F.struct("r", "more", "first", "totals")).alias("answers"))
 
 
-def read_answers(values: np.ndarray, answers: list[dict] | None, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """(found in other blocks too, this block is the first to hold it) for a block's sorted distinct values."""
-    more, first = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool)
-    edges = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
-    cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+def read_answers(values: np.ndarray, answers: list[dict] | None, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurs twice or more, this block is its first holder, how often in all) for a block's sorted distinct values."""
+    more, first, total = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool), np.ones(len(values), dtype=np.int64)
+    cuts = _cuts(values, ranges)
     for x in answers or []:
         a, b = cuts[x["r"]], cuts[x["r"] + 1]
         for out, name in ((more, "more"), (first, "first")):
-            out[a:b] = np.unpackbits(np.frombuffer(x[name], dtype=np.uint8), count=b - a)
-    return more, first
+            out[a:b] = np.unpackbits(unpack_array(x[name], np.uint8), count=b - a)
+        total[a:b][more[a:b]] = unpack_array(x["totals"], np.uint32)
+    return more, first, total

@@ -100,7 +100,7 @@ class _Block:
 
     def settle(self, answers, ranges: int) -> None:
         """Takes the first answers: which documents are whole copies, and which strings go on."""
-        more, first = read_answers(self.values, answers, ranges)
+        more, first, _ = read_answers(self.values, answers, ranges)
         again = more | (self.n_values > 1)
         at = np.searchsorted(self.values, self._marked())
         self.copy = again[at] & (self.sizes >= self.length)
@@ -135,12 +135,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         raise ValueError("length must be even and at least 32")
     ranges = max(8, partitions(docs.sparkSession))
     parts = text_blocks(docs, id_col, text_col, 2_000_000).select("block", "ids", "texts", "sizes")
-    once = materialize(ask(parts.select("block", "texts", "sizes"), lambda row: _Block(row, length).values, ranges), "buckets")
+    once = materialize(ask(parts.select("block", "texts", "sizes"), lambda row: (_Block(row, length).values, None), ranges), "buckets")
 
-    def second(row: dict) -> np.ndarray:
+    def second(row: dict) -> tuple[np.ndarray, None]:
         b = _Block(row, length)
         b.settle(row["answers"], ranges)
-        return b.whole
+        return b.whole, None
 
     twice = ask(parts.select("block", "texts", "sizes").join(once, "block", "left"), second, ranges).withColumnRenamed("answers", "then")
 
@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 b = _Block(row, length)
                 b.settle(row["answers"], ranges)
-                more, _ = read_answers(b.whole, row["then"], ranges)
+                more, _, _ = read_answers(b.whole, row["then"], ranges)
                 again = (more | (b.n_whole > 1))[b.place] if len(b.at) else np.zeros(0, dtype=bool)
                 step = np.zeros(int(b.sizes.sum()) + 1, dtype=np.int32)
                 np.add.at(step, b.at[again], 1)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize
+from .forest import forest
 
 #: Vectors that the codebooks are fitted on at most, and queries of the brute-force trial.
 FIT_ROWS, TRIAL = 16_384, 384
@@ -88,20 +89,6 @@ def units(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Labels of the components of n nodes under edges (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.99, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """`(vec_id, n_links, component_id, kept)` for every row of `vectors`.
 
@@ -193,7 +180,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.99, i
                 np.add.at(credit, a[blind], qc[b[blind]])
                 ones.append(a)
                 twos.append(len(m) + b)
-            label = _forest(np.concatenate(ones), np.concatenate(twos), len(gids))
+            label = forest(np.concatenate(ones), np.concatenate(twos), len(gids))
         use = (credit > 0) | (label != np.arange(len(gids)))
         return pa.table({"gid": pa.array(gids[use], pa.int64()), "to": pa.array(gids[label[use]], pa.int64()), "n": pa.array(credit[use], pa.int64())})
 
