@@ -1,2 +1,202 @@
+"""The 23 Nexmark queries over the test tables.
+
+Persons are customers, auctions are orders (seller o_custkey, category from the priority, a week long), and bids are
+lineitems (auction l_orderkey, bidder l_suppkey, price in cents). Event-time shapes that need a stream of many events per
+key run on `events`. There is no wall clock and no watermark: results follow from the rows alone.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import temporal as D
+from ..operators import joins as J
+from ..operators import ordering as O
+from ..operators import windows as W
+from ..sources import load
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+_BID = "SELECT l_orderkey AS auction, l_suppkey AS bidder, CAST(round(l_extendedprice * 100) AS BIGINT) AS price, l_shipdate AS date_time, l_linenumber AS id, l_returnflag AS channel FROM lineitem"
+_AUCTION = "SELECT o_orderkey AS id, o_custkey AS seller, CAST(left(o_orderpriority, 1) AS BIGINT) AS category, o_orderdate AS date_time, o_orderdate + INTERVAL '60 days' AS expires, CAST(round(o_totalprice * 10) AS BIGINT) AS reserve FROM orders"
+_PERSON = "SELECT c_custkey AS id, c_name AS name, c_nationkey AS city, n_name AS state FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_WITH = f"WITH bid AS ({_BID}), auction AS ({_AUCTION}), person AS ({_PERSON}) "
+
+
+def bid(spark, d):
+    l = load(spark, d, "lineitem")
+    return l.select(F.col("l_orderkey").alias("auction"), F.col("l_suppkey").alias("bidder"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.col("l_shipdate").alias("date_time"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("channel"))
+
+
+def auction(spark, d):
+    o = load(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("seller"), F.substring("o_orderpriority", 1, 1).cast("long").alias("category"), F.col("o_orderdate").alias("date_time"), D.plus_micros("o_orderdate", 60 * D.DAY).alias("expires"), F.round(F.col("o_totalprice") * 10).cast("long").alias("reserve"))
+
+
+def person(spark, d):
+    c = load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("city"), F.col("n_name").alias("state"))
+
+
+def query(sql: str):
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        SQL[fn.__name__] = _WITH + sql
+        return fn
+
+    return put
+
+
+@query("SELECT auction, bidder, price, date_time FROM bid")
+def nexmark_q0(spark, d):
+    return bid(spark, d).select("auction", "bidder", "price", "date_time")
+
+
+@query("SELECT auction, bidder, price * 908 // 1000 AS price, date_time FROM bid")
+def nexmark_q1(spark, d):
+    return bid(spark, d).select("auction", "bidder", ((F.col("price") * 908 - (F.col("price") * 908) % 1000) / 1000).cast("long").alias("price"), "date_time")
+
+
+@query("SELECT auction, price FROM bid WHERE auction % 123 = 0")
+def nexmark_q2(spark, d):
+    return bid(spark, d).where("auction % 123 = 0").select("auction", "price")
+
+
+@query("SELECT p.name, p.city, p.state, a.id FROM auction a JOIN person p ON a.seller = p.id WHERE a.category = 3 AND p.state IN (SELECT n_name FROM nation WHERE n_nationkey < 5)")
+def nexmark_q3(spark, d):
+    few = load(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_name").alias("state"))
+    p = person(spark, d).join(few, "state", "left_semi").withColumnRenamed("id", "pid")
+    return auction(spark, d).where("category = 3").join(p, F.col("seller") == F.col("pid")).select("name", "city", "state", "id")
+
+
+_WINNER = "SELECT a.id, a.seller, a.category, a.expires, max(b.price) AS final FROM auction a JOIN bid b ON b.auction = a.id AND b.date_time BETWEEN a.date_time AND a.expires GROUP BY 1, 2, 3, 4"
+
+
+def _winners(spark, d):
+    b = bid(spark, d).select("auction", "price", F.col("date_time").alias("bid_time"))
+    return auction(spark, d).join(b, (F.col("auction") == F.col("id")) & F.col("bid_time").between(F.col("date_time"), F.col("expires"))).groupBy("id", "seller", "category", "expires").agg(F.max("price").alias("final"))
+
+
+@query(f"SELECT category, round(avg(final), 4) AS mean FROM ({_WINNER}) GROUP BY 1")
+def nexmark_q4(spark, d):
+    return _winners(spark, d).groupBy("category").agg(F.round(F.avg("final"), 4).alias("mean"))
+
+
+@query("""SELECT start, event_type, n FROM (SELECT *, rank() OVER (PARTITION BY start ORDER BY n DESC) AS r FROM (
+  SELECT time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '2000-01-01') - k * INTERVAL '2 hours' AS start, event_type, count(*) AS n FROM events, (SELECT unnest(generate_series(0, 4)) AS k) GROUP BY 1, 2)) WHERE r = 1""")
+def nexmark_q5(spark, d):
+    e = load(spark, d, "events").select("event_type", F.explode(D.hops("ts", 10 * 3_600_000_000, 2 * 3_600_000_000)).alias("start"))
+    n = e.groupBy("start", "event_type").agg(F.count("*").alias("n"))
+    return O.top_per_group(n, ["start"], [O.key("n", True)], 1, ties=True).select("start", "event_type", "n")
+
+
+@query(f"SELECT seller, id, round(avg(final) OVER (PARTITION BY seller ORDER BY expires, id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), 3) AS mean FROM ({_WINNER}), (SELECT max(date_time) AS now FROM auction) WHERE expires <= now")
+def nexmark_q6(spark, d):
+    clock = auction(spark, d).agg(F.max("date_time").alias("now"))
+    w = Window.partitionBy("seller").orderBy("expires", "id").rowsBetween(-10, 0)
+    return _winners(spark, d).crossJoin(F.broadcast(clock)).where("expires <= now").select("seller", "id", F.round(F.avg("final").over(w), 3).alias("mean"))
+
+
+@query("SELECT start, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY start) AS top FROM (SELECT time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2000-01-01') AS start, event_id, value FROM events)) WHERE value = top")
+def nexmark_q7(spark, d):
+    e = load(spark, d, "events").select(D.date_bin(3_600_000_000, "ts").alias("start"), "event_id", "value")
+    top = e.groupBy("start").agg(F.max("value").alias("top"))
+    return e.join(top, "start").where("value = top").select("start", "event_id", "value")
+
+
+@query("SELECT DISTINCT u.user_id, u.day FROM (SELECT user_id, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2000-01-01') AS day FROM events WHERE event_type = 'signup') u JOIN (SELECT user_id, time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2000-01-01') AS day FROM events WHERE event_type = 'purchase') p USING (user_id, day)")
+def nexmark_q8(spark, d):
+    e = load(spark, d, "events").select("user_id", "event_type", D.date_bin(D.DAY, "ts").alias("day"))
+    return J.semi(e.where("event_type = 'signup'").select("user_id", "day").distinct(), e.where("event_type = 'purchase'").select("user_id", "day"), ["user_id", "day"])
+
+
+@query("SELECT id, price, bidder, seller FROM (SELECT a.id, b.price, b.bidder, a.seller, row_number() OVER (PARTITION BY a.id ORDER BY b.price DESC, b.date_time, b.id) AS n FROM auction a JOIN bid b ON b.auction = a.id AND b.date_time BETWEEN a.date_time AND a.expires) WHERE n = 1")
+def nexmark_q9(spark, d):
+    b = bid(spark, d).select("auction", "price", "bidder", F.col("date_time").alias("bid_time"), F.col("id").alias("bid_id"))
+    x = auction(spark, d).join(b, (F.col("auction") == F.col("id")) & F.col("bid_time").between(F.col("date_time"), F.col("expires")))
+    return O.top_per_group(x.select("id", "price", "bidder", "seller", "bid_time", "bid_id"), ["id"], [O.key("price", True), O.key("bid_time"), O.key("bid_id")], 1).select("id", "price", "bidder", "seller")
+
+
+@query("SELECT event_id, value, strftime(ts, '%Y-%m-%d') AS dt, strftime(ts, '%H:%M') AS hm FROM events")
+def nexmark_q10(spark, d):
+    return load(spark, d, "events").select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.date_format("ts", "HH:mm").alias("hm"))
+
+
+@query("SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 14400000000 THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, session")
+def nexmark_q11(spark, d):
+    s = W.sessions(load(spark, d, "events"), ["user_id"], "ts", 4 * 3_600_000_000, ["event_id"])
+    return s.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("session")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL '10 seconds', ts + INTERVAL '3 seconds', TIMESTAMP '2000-01-01') AS start, count(*) AS n FROM events GROUP BY 1, 2")
+def nexmark_q12(spark, d):
+    return load(spark, d, "events").groupBy("user_id", D.date_bin(10_000_000, D.plus_micros("ts", 3_000_000)).alias("start")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT b.auction, b.id, p.side FROM bid b ASOF LEFT JOIN (SELECT o_custkey % 100 AS k, o_orderdate AS t, min(o_orderkey) AS side FROM orders GROUP BY 1, 2) p ON b.bidder % 100 = p.k AND b.date_time >= p.t")
+def nexmark_q13(spark, d):
+    side = load(spark, d, "orders").select((F.col("o_custkey") % 100).alias("k"), F.col("o_orderdate").alias("t"), "o_orderkey")
+    b = bid(spark, d).withColumn("k", F.col("bidder") % 100)
+    return J.predecessor(b, side, ["k"], "date_time", "t", ["o_orderkey"], {"o_orderkey": "side"}, bucket_us=90 * D.DAY).select("auction", "id", "side")
+
+
+@query("SELECT event_id, round(value * 0.908, 6) AS value, CASE WHEN hour(ts) BETWEEN 8 AND 18 THEN 'day' WHEN hour(ts) <= 6 OR hour(ts) >= 20 THEN 'night' ELSE 'other' END AS kind, (length(props) - length(replace(props, '\"', '')))::INT AS quotes FROM events WHERE value > 20 AND value < 80")
+def nexmark_q14(spark, d):
+    h = F.hour("ts")
+    kind = F.when(h.between(8, 18), "day").when((h <= 6) | (h >= 20), "night").otherwise("other")
+    return load(spark, d, "events").where("value > 20 AND value < 80").select("event_id", F.round(F.col("value") * 0.908, 6).alias("value"), kind.alias("kind"), (F.length("props") - F.length(F.replace("props", F.lit('"'), F.lit("")))).alias("quotes"))
+
+
+_RANKS = [("r1", "value < 20"), ("r2", "value >= 20 AND value < 60"), ("r3", "value >= 60")]
+
+
+def _ranked(by: str, keys: list) -> str:
+    return f"SELECT {by}, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {p}) AS n_{r}, count(DISTINCT user_id) FILTER (WHERE {p}) AS u_{r}" for r, p in _RANKS) + ", count(DISTINCT user_id) AS u FROM events GROUP BY " + ", ".join(str(k + 1) for k in range(len(keys)))
+
+
+def _ranked_df(df, keys):
+    filters = [c for r, p in _RANKS for c in (F.count_if(F.expr(p)).alias(f"n_{r}"), F.count_distinct(F.when(F.expr(p), F.col("user_id"))).alias(f"u_{r}"))]
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *filters, F.count_distinct("user_id").alias("u"))
+
+
+@query(_ranked("CAST(ts AS DATE) AS day", ["day"]))
+def nexmark_q15(spark, d):
+    return _ranked_df(load(spark, d, "events"), [F.col("ts").cast("date").alias("day")])
+
+
+@query(_ranked("event_type, CAST(ts AS DATE) AS day, ", ["event_type", "day"]).replace(", , count", ", count"))
+def nexmark_q16(spark, d):
+    return _ranked_df(load(spark, d, "events"), ["event_type", F.col("ts").cast("date").alias("day")])
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE value < 20) AS low, min(value) AS lo, max(value) AS hi, round(avg(value), 4) AS mean, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def nexmark_q17(spark, d):
+    return load(spark, d, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("value") < 20).alias("low"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("SELECT auction, bidder, price, id FROM (SELECT *, row_number() OVER (PARTITION BY bidder, channel ORDER BY date_time DESC, auction, id) AS n FROM bid) WHERE n = 1")
+def nexmark_q18(spark, d):
+    return O.top_per_group(bid(spark, d), ["bidder", "channel"], [O.key("date_time", True), O.key("auction"), O.key("id")], 1).select("auction", "bidder", "price", "id")
+
+
+@query("SELECT auction, bidder, price, id FROM (SELECT *, row_number() OVER (PARTITION BY bidder ORDER BY price DESC, auction, id) AS n FROM bid) WHERE n <= 10")
+def nexmark_q19(spark, d):
+    return O.top_per_group(bid(spark, d), ["bidder"], [O.key("price", True), O.key("auction"), O.key("id")], 10).select("auction", "bidder", "price", "id")
+
+
+@query("SELECT b.auction, b.bidder, b.price, a.seller, a.category FROM bid b JOIN auction a ON b.auction = a.id WHERE a.category = 1")
+def nexmark_q20(spark, d):
+    return bid(spark, d).join(auction(spark, d).where("category = 1").select(F.col("id").alias("aid"), "seller", "category"), F.col("auction") == F.col("aid")).select("auction", "bidder", "price", "seller", "category")
+
+
+@query("SELECT page_id, CASE lower(split_part(split_part(url, '://', 2), '.', 1)) WHEN 'www' THEN '0' WHEN 'blog' THEN '1' WHEN 'm' THEN '2' ELSE regexp_extract(url, '(&|\\?)page=([^&#]*)', 2) END AS channel FROM pages WHERE url LIKE '%?%'")
+def nexmark_q21(spark, d):
+    first = F.lower(F.split_part(F.split_part(F.col("url"), F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)))
+    return load(spark, d, "pages").where("url LIKE '%?%'").select("page_id", F.when(first == "www", "0").when(first == "blog", "1").when(first == "m", "2").otherwise(F.regexp_extract("url", r"(&|\?)page=([^&#]*)", 2)).alias("channel"))
+
+
+@query("SELECT page_id, split_part(url, '/', 4) AS dir1, split_part(url, '/', 5) AS dir2, split_part(url, '/', 6) AS dir3 FROM pages")
+def nexmark_q22(spark, d):
+    return load(spark, d, "pages").select("page_id", *[F.split_part("url", F.lit("/"), F.lit(k + 3)).alias(f"dir{k}") for k in (1, 2, 3)])
