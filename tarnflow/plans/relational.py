@@ -449,3 +449,45 @@ def subquery_row_in(spark, d):
 @query("SELECT count(*) AS n, count(DISTINCT day) AS days FROM (SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '2000-01-01') AS day FROM events)")
 def derived_table(spark, d):
     return _ev(spark, d).select(D.date_bin(D.DAY, "ts").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("day").alias("days"))
+
+
+@query("SELECT o_orderkey, o_totalprice, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_totalprice")
+def group_functional_dependency(spark, d):
+    """o_totalprice depends on the primary key o_orderkey, so it needs no place in the group key."""
+    j = load(spark, d, "orders").join(load(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.groupBy("o_orderkey").agg(F.first("o_totalprice").alias("o_totalprice"), F.count("*").alias("n"))
+
+
+@query("SELECT CAST(o_orderdate AS DATE) AS day, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, s")
+def group_ordinals_labels(spark, d):
+    return load(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day"), F.col("o_orderstatus").alias("s")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, bool_and(c_acctbal > -1000) AS e, string_agg(left(c_mktsegment, 1), '' ORDER BY c_custkey) FILTER (WHERE c_custkey < 20) AS s FROM customer HAVING count(*) > 1")
+def group_global_having(spark, d):
+    c = load(spark, d, "customer")
+    return G.group(c, [], [F.count("*").alias("n"), A.every(F.col("c_acctbal") > -1000).alias("e"), A.string_agg(F.substring("c_mktsegment", 1, 1), "", [F.col("c_custkey")], filter=F.col("c_custkey") < 20).alias("s")], F.col("n") > 1)
+
+
+@query("SELECT event_id, sum(event_id) OVER w AS s, string_agg(event_type, ',') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS kinds FROM (SELECT * FROM events) WINDOW v AS (PARTITION BY user_id), w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def window_string_agg(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _ev(spark, d).select("event_id", F.sum("event_id").over(w).alias("s"), F.array_join(F.collect_list("event_type").over(w.rowsBetween(-2, 0)), ",").alias("kinds"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 0")
+def order_limit_zero(spark, d):
+    return O.limit(load(spark, d, "orders").select("o_orderkey"), [O.key("o_orderkey")], 0)
+
+
+@query("SELECT p_name FROM part WHERE p_size < 5 ORDER BY p_name COLLATE \"C\" LIMIT 20".replace('COLLATE "C" ', ""))
+def order_bytewise(spark, d):
+    return O.limit(load(spark, d, "part").where("p_size < 5").select("p_name"), [O.key("p_name")], 20)
+
+
+@query("SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20) AS n FROM customer c")
+def subquery_residual_correlation(spark, d):
+    """The residual goes into the join; groups without a match count 0."""
+    c, o = load(spark, d, "customer"), load(spark, d, "orders")
+    j = c.join(o, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("o_totalprice") > F.col("c_acctbal") * 20), "left")
+    return j.groupBy("c_custkey").agg(F.count("o_orderkey").alias("n"))

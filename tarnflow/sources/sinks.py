@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,10 +71,16 @@ class Versions:
         """Writes every part into the tick's folder, then the manifest; parts named in `unchanged` keep their files."""
         old = self.manifest() or {"parts": {}, "schemas": {}}
         m = {"tick": tick, "parts": {n: old["parts"][n] for n in unchanged}, "schemas": {n: old["schemas"][n] for n in unchanged}}
-        for name, df in parts.items():
+
+        def write(name: str) -> str:
             path = f"{self.files.root}/v{tick:09d}/{name}"
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-            m["parts"][name] = path
+            parts[name].write.mode("overwrite").option("compression", "zstd").parquet(path)
+            return path
+
+        with ThreadPoolExecutor(4) as pool:  # the parts don't depend on each other, so their jobs may overlap
+            paths = dict(zip(parts, pool.map(write, parts), strict=True))
+        for name, df in parts.items():
+            m["parts"][name] = paths[name]
             m["schemas"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
         self.files.replace(f"manifest-{tick:09d}", json.dumps(m))
         self._collect(m)
