@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     if length % 2 or length < 32:
         raise ValueError("length must be even and at least 32")
     ranges = max(8, partitions(docs.sparkSession))
-    parts = text_blocks(docs, id_col, text_col, 2_000_000).select("block", "ids", "texts", "sizes")
+    parts = text_blocks(docs, id_col, text_col, 1_500_000).select("block", "ids", "texts", "sizes")
     once = materialize(ask(parts.select("block", "texts", "sizes"), lambda row: (_Block(row, length).values, None), ranges), "buckets")
 
     def second(row: dict) -> tuple[np.ndarray, None]:

@@ -9,7 +9,6 @@ spellings never seen are scored too. The gate inputs of a word don't depend on i
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +100,11 @@ class Network:
 
     def inputs(self, words: np.ndarray, tri: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Word ids (n), trigram buckets (n, m) and their weights (n, m) to inputs (n, WORD + CHAR)."""
-        return np.concatenate([self.p["word"][words], (self.p["tri"][tri] * weight[:, :, None]).sum(1)], 1)
+        out = np.empty((len(words), WORD + CHAR), self.p["word"].dtype)
+        out[:, :WORD] = self.p["word"][words]
+        for k in range(0, len(words), 4096):
+            out[k : k + 4096, WORD:] = (self.p["tri"][tri[k : k + 4096]] * weight[k : k + 4096, :, None]).sum(1)
+        return out
 
     def gates(self, x: np.ndarray) -> dict[str, np.ndarray]:
         return {way: x @ self.p[f"W{way}"] + self.p[f"c{way}"] for way in ("f", "b")}
@@ -178,30 +181,31 @@ class Toxicity:
 
     @classmethod
     def fit(cls, texts: list[bytes], labels: list[int], rounds: int = 4, batch: int = 128, rate: float = 0.01, seed: int = 5) -> "Toxicity":
-        docs = [words_of(t) for t in texts]
         y = np.array(labels, dtype=np.float32)
         r = np.random.default_rng(seed)
-        seen = Counter(w for d in docs for w in set(d))
-        vocabulary = {w: k + 1 for k, (w, _) in enumerate(sorted(((w, n) for w, n in seen.items() if n > 2), key=lambda x: (-x[1], x[0]))[:VOCABULARY])}
-        words = sorted(seen)
-        number = {w: k + 1 for k, w in enumerate(words)}
-        table = cls.table([b"", *words], vocabulary)
+        number: dict[bytes, int] = {}
+        docs = [np.array([number.setdefault(w, len(number) + 1) for w in words_of(t)], dtype=np.int32) for t in texts]
+        words = [b"", *number]
+        seen = np.zeros(len(words), dtype=np.int64)
+        for d in docs:
+            seen[np.unique(d)] += 1
+        often = np.argsort(-seen, kind="stable")[:VOCABULARY]
+        vocabulary = {words[k]: at + 1 for at, k in enumerate(often[seen[often] > 2].tolist())}
+        table = cls.table(words, vocabulary)
         net = Network()
         # a start near the answer: first embedding unit = log odds of the label given the word or trigram
         for name, keys in (("word", table[0][:, None]), ("tri", table[1])):
-            size = len(net.p[name])
-            n1, n0 = np.ones(size), np.ones(size)
+            n1, n0 = np.ones(len(net.p[name])), np.ones(len(net.p[name]))
             for d, t in zip(docs, y, strict=True):
-                k = np.unique(keys[[number[w] for w in set(d)]]) if d else np.zeros(0, int)
-                (n1 if t else n0)[k] += 1
+                (n1 if t else n0)[np.unique(keys[np.unique(d)])] += 1
             odds = np.log(n1 / (y.sum() + 2)) - np.log(n0 / (len(y) - y.sum() + 2))
             net.p[name][:, 0] = np.clip(odds, -3, 3)
         net.p["word"][0] = 0
-        odds = net.p["word"][table[0], 0] + (net.p["tri"][table[1], 0] * table[2]).sum(1)
+        x = net.inputs(*table)
+        odds = x[:, 0] + x[:, WORD]
         odds[0] = 0
         spans, owner = [], []
-        for k, d in enumerate(docs):
-            ids = np.array([number[w] for w in d], np.int32)
+        for k, ids in enumerate(docs):
             for s in window_starts(len(ids)):
                 spans.append(np.pad(ids[s : s + WINDOW], (0, max(0, WINDOW - len(ids)))))
                 owner.append(k)
@@ -211,6 +215,8 @@ class Toxicity:
         score = np.maximum(odds[spans], 0).max(1) + 0.1 * odds[spans].mean(1)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
         step = 0
+        # few texts take more rounds, so that the number of steps suffices
+        rounds = max(rounds, min(40, -(-160 // -(-len(docs) * 3 // (2 * batch)))))
         for turn in range(rounds):
             order = np.lexsort((-score, owner))
             top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]  # each text's highest window
