@@ -54,8 +54,6 @@ def both(name: str, out, names: list[str], sql: str) -> None:
     SQL[f"view_{name}"] = SQL[f"incremental_{name}"] = sql
 
 
-_cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-
 both(
     "filter_project",
     Linear(LINES, lambda df: df.where("l_quantity > 40").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).alias("twice"), *[c for c in df.columns if c == "__w"])),
@@ -68,12 +66,12 @@ both(
     Aggregate(
         Join(
             Linear(ORDERS, lambda df: df.select(F.col("o_orderkey").alias("k"), "o_custkey", *[c for c in df.columns if c == "__w"])),
-            Linear(LINES, lambda df: df.select(F.col("l_orderkey").alias("k"), _cents.alias("cents"), *[c for c in df.columns if c == "__w"])),
+            Linear(LINES, lambda df: df.select(F.col("l_orderkey").alias("k"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), *[c for c in df.columns if c == "__w"])),
             ["k"],
         ),
         ["o_custkey"],
-        {"cents": F.col("cents")},
-        {"n": F.col("n"), "cents": F.col("cents")},
+        {"cents": "cents"},
+        {"n": "n", "cents": "cents"},
     ),
     ["orders", "lineitem"],
     "SELECT o_custkey, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
@@ -81,7 +79,7 @@ both(
 
 both(
     "count_sum_by_supplier",
-    Aggregate(LINES, ["l_suppkey"], {"q": F.col("l_quantity").cast("decimal(18,2)")}, {"n": F.col("n"), "quantity": F.col("q").cast("double")}),
+    Aggregate(LINES, ["l_suppkey"], {"q": "CAST(l_quantity AS DECIMAL(18,2))"}, {"n": "n", "quantity": "CAST(q AS DOUBLE)"}),
     ["lineitem"],
     "SELECT l_suppkey, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2)))::DOUBLE AS quantity FROM lineitem GROUP BY 1",
 )

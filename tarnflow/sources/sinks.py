@@ -61,16 +61,23 @@ class Versions:
         return -1 if m is None else m["tick"]
 
     def read(self, name: str) -> DataFrame | None:
+        """All runs of a part, as one scan."""
         m = self.manifest()
         if m is None or name not in m["parts"]:
             return None
         schema = self.spark.createDataFrame([], m["schemas"][name]).schema
-        return self.spark.read.schema(schema).parquet(m["parts"][name])
+        return self.spark.read.schema(schema).parquet(*m["parts"][name])
 
-    def commit(self, tick: int, parts: dict[str, DataFrame], unchanged: tuple[str, ...] = ()) -> None:
-        """Writes every part into the tick's folder, then the manifest; parts named in `unchanged` keep their files."""
+    def runs(self, name: str) -> int:
+        m = self.manifest()
+        return 0 if m is None else len(m["parts"].get(name, []))
+
+    def commit(self, tick: int, parts: dict[str, DataFrame], added: tuple[str, ...] = ()) -> None:
+        """Writes every part into the tick's folder, then the manifest.
+
+        Parts named in `added` become one more run beside those they have; others replace what was there.
+        """
         old = self.manifest() or {"parts": {}, "schemas": {}}
-        m = {"tick": tick, "parts": {n: old["parts"][n] for n in unchanged}, "schemas": {n: old["schemas"][n] for n in unchanged}}
 
         def write(name: str) -> str:
             path = f"{self.files.root}/v{tick:09d}/{name}"
@@ -79,16 +86,18 @@ class Versions:
 
         with ThreadPoolExecutor(4) as pool:  # the parts don't depend on each other, so their jobs may overlap
             paths = dict(zip(parts, pool.map(write, parts), strict=True))
-        for name, df in parts.items():
-            m["parts"][name] = paths[name]
-            m["schemas"][name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        m = {
+            "tick": tick,
+            "parts": {n: [*(old["parts"].get(n, []) if n in added else []), paths[n]] for n in parts},
+            "schemas": {n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for n, df in parts.items()},
+        }
         self.files.replace(f"manifest-{tick:09d}", json.dumps(m))
         self._collect(m)
 
     def _collect(self, m: dict) -> None:
         done = sorted(n for n in self.files.names() if n.startswith("manifest-"))
         kept = [json.loads(self.files.read(n)) for n in done[-self.keep :]]
-        used = {p.split("/")[-2] for k in [*kept, m] for p in k["parts"].values()}
+        used = {p.split("/")[-2] for k in [*kept, m] for runs in k["parts"].values() for p in runs}
         for n in done[: -self.keep]:
             self.files.delete(n)
         for n in self.files.names():

@@ -2,8 +2,9 @@
 
 `View.batch` builds the plain DataFrame. `View.step` takes one weighted change for each source and returns the view's
 change: linear operators map it, joins take three terms, additive aggregates merge sums, and everything else
-recomputes the groups that the change touches, before and after. State is a Parquet version per tick
-with an atomically committed manifest, so a step that is run again after a failure has no second effect.
+recomputes the groups that the change touches, before and after. State is a list of Parquet runs, one more each
+tick and merged into one every RUNS ticks, so a tick writes about as much as it changes. A tick's manifest commits
+all of it at once, so a step that is run again after a failure has no second effect.
 """
 
 from __future__ import annotations
@@ -19,9 +20,15 @@ from ..sources.changes import WEIGHT
 from ..sources.sinks import Versions
 from . import zset
 
+#: Runs of a node's state before they are merged.
+RUNS = 8
 _ids = count()
 
 
+def _col(c: Column | str) -> Column:
+    return F.expr(c) if isinstance(c, str) else c
+
+
 @dataclass(eq=False)
 class Node:
     """An operator; `inputs` are evaluated before it."""
@@ -89,14 +96,14 @@ class Join(Node):
 class Aggregate(Node):
     """GROUP BY with additive measures: counts and sums of expressions over a row.
 
-    `sums` maps names to expressions whose sums are kept; `finish` maps output names to expressions over the sums, `n` (rows of the
+    Expressions are Columns or SQL text. `sums` maps names to expressions whose sums are kept; `finish` maps output names to expressions over the sums, `n` (rows of the
     group) and the keys. A group whose rows are gone goes.
     """
 
     child: Node
     keys: list[str]
-    sums: dict[str, Column]
-    finish: dict[str, Column]
+    sums: dict[str, Column | str]
+    finish: dict[str, Column | str]
 
     @property
     def inputs(self):
@@ -152,7 +159,7 @@ class View:
             elif isinstance(n, Join):
                 got[n.id] = ins[0].join(ins[1], n.keys) if n.keys else ins[0].crossJoin(ins[1])
             elif isinstance(n, Aggregate):
-                got[n.id] = ins[0].groupBy(*n.keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(s) for s, c in n.sums.items()]).select(*n.keys, *[c.alias(o) for o, c in n.finish.items()])
+                got[n.id] = ins[0].groupBy(*n.keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(_col(c)).alias(s) for s, c in n.sums.items()]).select(*n.keys, *[_col(c).alias(o) for o, c in n.finish.items()])
             else:
                 got[n.id] = n.fn(*ins)
         return got[self.out.id]
@@ -172,16 +179,29 @@ class View:
             return v.read("delta")
         first = v.tick < 0
         parts: dict[str, DataFrame] = {}
+        added: list[str] = []
         change: dict[int, DataFrame] = {}
 
+        def keep(name: str, d: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+            """Adds a run to a part, or merges its runs; returns the part as it was before."""
+            old = v.read(name)
+            if old is None:
+                old = d.limit(0)
+            if v.runs(name) + 1 < RUNS:
+                parts[name] = d
+                added.append(name)
+            else:
+                parts[name] = merge(old.unionByName(d))
+            return old
+
         def arranged(n: Node) -> tuple[DataFrame, DataFrame]:
-            """(state before, change) of a node whose output is kept, and its new state into `parts`."""
+            """(state before, change) of a node whose output is kept; the state isn't consolidated."""
             name, d = f"a{self._position(n)}", change[n.id]
-            old = v.read(name)
-            old = d.limit(0) if old is None else old
-            parts[name] = zset.consolidate(zset.add(old, d))
-            return old, d
+            if name not in arranged_before:
+                arranged_before[name] = keep(name, zset.consolidate(d), zset.consolidate)
+            return arranged_before[name], d
 
+        arranged_before: dict[str, DataFrame] = {}
         for n in self.nodes:
             ins = [change[i.id] for i in n.inputs]
             if isinstance(n, Source):
@@ -199,33 +219,31 @@ class View:
                 (l, dl), (r, dr) = arranged(n.left), arranged(n.right)
                 change[n.id] = zset.join_delta(l, dl, r, dr, n.keys)
             elif isinstance(n, Aggregate):
-                change[n.id] = self._aggregate(n, ins[0], parts)
+                change[n.id] = self._aggregate(n, ins[0], keep)
             else:
                 change[n.id] = self._keyed(n, [arranged(c) for c in n.children])
         parts["delta"] = zset.consolidate(change[self.out.id])
-        old = v.read("view")
-        parts["view"] = parts["delta"] if old is None else zset.consolidate(zset.add(old, parts["delta"]))
-        v.commit(tick, parts)
+        keep("view", parts["delta"], zset.consolidate)
+        v.commit(tick, parts, tuple(added))
         return v.read("delta")
 
-    def _aggregate(self, n: Aggregate, d: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
-        name = f"s{self._position(n)}"
-        sums = [F.sum(c * F.col(WEIGHT)).alias(s) for s, c in n.sums.items()]
-        filled = [F.sum(F.when(c.isNotNull(), F.col(WEIGHT)).otherwise(0)).alias(f"__c_{s}") for s, c in n.sums.items()]
+    def _aggregate(self, n: Aggregate, d: DataFrame, keep: Callable) -> DataFrame:
+        sums = [F.sum(_col(c) * F.col(WEIGHT)).alias(s) for s, c in n.sums.items()]
+        filled = [F.sum(F.when(_col(c).isNotNull(), F.col(WEIGHT)).otherwise(0)).alias(f"__c_{s}") for s, c in n.sums.items()]
         fresh = d.groupBy(*n.keys).agg(F.sum(WEIGHT).alias("n"), *sums, *filled)
-        old = self.versions.read(name)
-        old = fresh.limit(0) if old is None else old
         types = dict(fresh.dtypes)
-        merged = old.unionByName(fresh).groupBy(*n.keys).agg(*[F.sum(c).cast(types[c]).alias(c) for c in fresh.columns if c not in n.keys]).where("n <> 0")
-        parts[name] = merged
+
+        def merge(state: DataFrame) -> DataFrame:
+            return state.groupBy(*n.keys).agg(*[F.sum(c).cast(types[c]).alias(c) for c in fresh.columns if c not in n.keys]).where("n <> 0")
+
+        old = zset.restrict(keep(f"s{self._position(n)}", fresh, merge), fresh.select(*n.keys))
 
         def shown(state: DataFrame, weight: int) -> DataFrame:
             # a sum over nulls alone is null
             own = state.withColumns({s: F.when(F.col(f"__c_{s}") > 0, F.col(s)) for s in n.sums})
-            return zset.of(own.select(*n.keys, *[c.alias(o) for o, c in n.finish.items()]), weight)
+            return zset.of(own.select(*n.keys, *[_col(c).alias(o) for o, c in n.finish.items()]), weight)
 
-        touched = fresh.select(*n.keys)
-        return zset.consolidate(zset.add(shown(zset.restrict(old, touched), -1), shown(zset.restrict(merged, touched), 1)))
+        return zset.consolidate(zset.add(shown(merge(old), -1), shown(merge(old.unionByName(fresh)), 1)))
 
     def _keyed(self, n: Keyed, ins: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
         if n.keys:
@@ -237,10 +255,12 @@ class View:
             near = [zset.restrict(s, touched) for s, _ in ins]
         else:
             near = [s for s, _ in ins]
-        before = n.fn(*[zset.bag(s) for s in near])
+        before = n.fn(*[zset.bag(zset.consolidate(s)) for s in near])
         after = n.fn(*[zset.bag(zset.consolidate(zset.add(s, d))) for s, (_, d) in zip(near, ins, strict=True)])
+        if self.versions.tick < 0:  # the view was nothing yet, not the result over empty inputs
+            return zset.consolidate(zset.of(after))
         return zset.consolidate(zset.add(zset.of(before, -1), zset.of(after, 1)))
 
     def read(self) -> DataFrame:
         """The view's rows after the last committed tick."""
-        return zset.bag(self.versions.read("view"))
+        return zset.bag(zset.consolidate(self.versions.read("view")))

@@ -47,7 +47,7 @@ GRAPHS = {
     "union": Union(Linear(A, lambda d: d.select("k", *[c for c in d.columns if c == "__w"])), Linear(B, lambda d: d.select("k", *[c for c in d.columns if c == "__w"]))),
     "join": Join(A, B, ["k"]),
     "cross": Join(A, Linear(B, lambda d: d.withColumnRenamed("k", "j")), []),
-    "aggregate": Aggregate(B, ["k"], {"s": F.col("x")}, {"n": F.col("n"), "s": F.col("s")}),
+    "aggregate": Aggregate(B, ["k"], {"s": "x"}, {"n": "n", "s": "s"}),
     "left": Keyed([A, B], ["k"], lambda a, b: a.join(b, "k", "left")),
     "full": Keyed([A, B], ["k"], lambda a, b: a.join(b, "k", "full")),
     "max": Keyed([B], ["k"], lambda b: b.groupBy("k").agg(F.max("x").alias("m"))),
