@@ -75,6 +75,28 @@ def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, m
     return int(cost[best]), int(origin[best]), int(at[best])
 
 
+def within(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> bool:
+    """Whether `banded_distance` is at most `most`: costs alone, given up as soon as a whole row is above it.
+
+    Bytes beyond the region match nothing; to take one costs as much as to leave the item's byte out, so the bounds need no
+    test.
+    """
+    n, width = len(item), high - low + 1
+    lane = np.arange(width, dtype=np.int32)
+    cost = np.zeros(width, dtype=np.int32)
+    gone = np.full(width, len(item) + 1, dtype=np.int32)
+    before, after = max(0, -low), max(0, n + high + 1 - len(region))
+    padded = np.concatenate([np.full(before, -1, np.int16), region.astype(np.int16), np.full(after, -1, np.int16)])
+    for i, byte in enumerate(item.tolist()):
+        at = before + low + i
+        np.add(cost[1:], 1, out=gone[:-1])
+        step = np.minimum(cost + (padded[at : at + width] != byte), gone)
+        cost = np.minimum.accumulate(step - lane) + lane
+        if i & 7 == 7 and cost.min() > most:
+            return False
+    return int(cost.min()) <= most
+
+
 class Items:
     """The benchmark's q-grams with the items and offsets where they stand."""
 
@@ -133,6 +155,18 @@ class Items:
         both = hits + np.where(follows, np.concatenate([hits[1:], [0]]), 0)
         pair = band >> 32
         held = np.flatnonzero(both >= self.bound[pair % len(self.ids)])
+        if not len(held):
+            return []
+        # of those bands, count every q-gram of the item once
+        place = np.searchsorted(band, key)
+        near = np.zeros(len(band), dtype=bool)
+        near[held] = near[np.minimum(held + follows[held], len(band) - 1)] = True
+        use = near[place]
+        code, offset = place[use], self.offset[where][use]
+        twin = np.flatnonzero(follows[np.maximum(code - 1, 0)] & (code > 0))  # hits that the band before holds too
+        code, offset = np.concatenate([code, code[twin] - 1]), np.concatenate([offset, offset[twin]])
+        single = np.unique(code * (int(self.n.max()) + 1) + offset) // (int(self.n.max()) + 1)
+        held = held[np.bincount(single, minlength=len(band))[held] >= self.bound[pair[held] % len(self.ids)]]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for h in held.tolist():
             d, i = divmod(int(pair[h]), len(self.ids))
@@ -143,6 +177,12 @@ class Items:
             high = low + 2 * w + 2 * most
             text = data[starts[d] : ends[d]]
             lo, hi = max(0, low), min(len(text), high + int(self.n[i]))
+            whole = text[lo:hi].tobytes().find(self.data[i].tobytes())
+            if whole >= 0:
+                best[(d, i)] = (0, lo + whole, lo + whole + int(self.n[i]))
+                continue
+            if not within(self.data[i], text[lo:hi], low - lo, high - lo, most):
+                continue
             edits, a, b = banded_distance(self.data[i], text[lo:hi], low - lo, high - lo, most)
             if edits <= most and ((d, i) not in best or edits < best[(d, i)][0]):
                 best[(d, i)] = (edits, lo + a, lo + b)
