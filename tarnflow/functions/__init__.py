@@ -1,5 +1,5 @@
 """Scalar and aggregate functions with PostgreSQL semantics, as Spark column expressions."""
 
-from . import aggregates, numbers, predicates, temporal, text
+from . import aggregates, intervals, numbers, predicates, temporal, text
 
-__all__ = ["aggregates", "numbers", "predicates", "temporal", "text"]
+__all__ = ["aggregates", "intervals", "numbers", "predicates", "temporal", "text"]

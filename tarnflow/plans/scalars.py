@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import intervals as V
 from ..functions import numbers as N
 from ..functions import predicates as P
 from ..functions import temporal as D
@@ -165,3 +166,17 @@ _UNITS = ("minute", "hour", "day", "week", "month", "quarter", "year", "decade",
 @query("SELECT event_id, " + ", ".join({"century": "make_date((year(ts) - 1) // 100 * 100 + 1, 1, 1)::TIMESTAMP AS t_century", "millennium": "make_date((year(ts) - 1) // 1000 * 1000 + 1, 1, 1)::TIMESTAMP AS t_millennium"}.get(u, f"CAST(date_trunc('{u}', ts) AS TIMESTAMP) AS t_{u}") for u in _UNITS) + " FROM events")
 def truncate_dates(spark, d):
     return load(spark, d, "events").select("event_id", *[D.date_trunc(u, "ts").alias(f"t_{u}") for u in _UNITS])
+
+
+@query("""SELECT o_orderkey, o_orderdate + INTERVAL '1 month' * (o_orderkey % 14) + INTERVAL '1 day' * (o_custkey % 40) + INTERVAL '3 hours' AS moved, epoch_us(o_orderdate) - epoch_us(TIMESTAMP '1996-02-29 12:00:00') < 0 AS early,
+       ((o_orderkey % 14) * 30 + o_custkey % 40) * 86400000000 + 10800000000 AS k FROM orders""")
+def interval_arithmetic(spark, d):
+    x = V.plus(V.times(V.interval(1), F.col("o_orderkey") % 14), V.interval(0, F.col("o_custkey") % 40, 3 * 3_600_000_000))
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderdate", x.alias("x"))
+    early = V.duration_key(V.gap("o_orderdate", F.lit("1996-02-29 12:00:00"))) < 0
+    return o.select("o_orderkey", V.shift("o_orderdate", "x").alias("moved"), early.alias("early"), V.duration_key("x").cast("long").alias("k"))
+
+
+@query("""SELECT event_id, extract(epoch FROM ts)::BIGINT AS sec, CAST(NULL AS TIMESTAMP) AS nothing, time_bucket(INTERVAL '1 second', ts + INTERVAL '500 milliseconds', TIMESTAMP '2000-01-01') AS p0 FROM events""")
+def timestamp_precision(spark, d):
+    return load(spark, d, "events").select("event_id", F.floor(D.extract("epoch", "ts")).cast("long").alias("sec"), F.lit(None).cast("timestamp_ntz").alias("nothing"), D.at_precision("ts", 0).alias("p0"))

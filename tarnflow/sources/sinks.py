@@ -72,10 +72,11 @@ class Versions:
         m = self.manifest()
         return 0 if m is None else len(m["parts"].get(name, []))
 
-    def commit(self, tick: int, parts: dict[str, DataFrame], added: tuple[str, ...] = ()) -> None:
+    def commit(self, tick: int, parts: dict[str, DataFrame], added: tuple[str, ...] = (), same: dict[str, str] | None = None) -> None:
         """Writes every part into the tick's folder, then the manifest.
 
-        Parts named in `added` become one more run beside those they have; others replace what was there.
+        Parts named in `added` become one more run beside those they have; others replace what was there. `same` names
+        parts whose next run is what another part of this tick has written.
         """
         old = self.manifest() or {"parts": {}, "schemas": {}}
 
@@ -91,6 +92,9 @@ class Versions:
             "parts": {n: [*(old["parts"].get(n, []) if n in added else []), paths[n]] for n in parts},
             "schemas": {n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for n, df in parts.items()},
         }
+        for name, of in (same or {}).items():
+            m["parts"][name] = [*old["parts"].get(name, []), paths[of]]
+            m["schemas"][name] = m["schemas"][of]
         self.files.replace(f"manifest-{tick:09d}", json.dumps(m))
         self._collect(m)
 

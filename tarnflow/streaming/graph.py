@@ -223,8 +223,12 @@ class View:
             else:
                 change[n.id] = self._keyed(n, [arranged(c) for c in n.children])
         parts["delta"] = zset.consolidate(change[self.out.id])
-        keep("view", parts["delta"], zset.consolidate)
-        v.commit(tick, parts, tuple(added))
+        same = {}
+        if v.runs("view") + 1 < RUNS:
+            same["view"] = "delta"  # the change is the view's next run; it is written once
+        else:
+            parts["view"] = zset.consolidate(v.read("view").unionByName(parts["delta"]))
+        v.commit(tick, parts, tuple(added), same)
         return v.read("delta")
 
     def _aggregate(self, n: Aggregate, d: DataFrame, keep: Callable) -> DataFrame:
