@@ -177,6 +177,6 @@ def interval_arithmetic(spark, d):
     return o.select("o_orderkey", V.shift("o_orderdate", "x").alias("moved"), early.alias("early"), V.duration_key("x").cast("long").alias("k"))
 
 
-@query("""SELECT event_id, extract(epoch FROM ts)::BIGINT AS sec, CAST(NULL AS TIMESTAMP) AS nothing, time_bucket(INTERVAL '1 second', ts + INTERVAL '500 milliseconds', TIMESTAMP '2000-01-01') AS p0 FROM events""")
+@query("""SELECT event_id, floor(epoch(ts))::BIGINT AS sec, CAST(NULL AS TIMESTAMP) AS nothing, time_bucket(INTERVAL '1 second', ts + INTERVAL '500 milliseconds', TIMESTAMP '2000-01-01') AS p0 FROM events""")
 def timestamp_precision(spark, d):
     return load(spark, d, "events").select("event_id", F.floor(D.extract("epoch", "ts")).cast("long").alias("sec"), F.lit(None).cast("timestamp_ntz").alias("nothing"), D.at_precision("ts", 0).alias("p0"))
