@@ -16,8 +16,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,13 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, partitions
-from .packed import pack_array, pack_ints, pack_texts, unpack_array, unpack_ints, unpack_texts
+from .exchange import ask, read_answers
+from .forest import forest
+from .packed import pack_texts, unpack_texts
 from .shingles import blocks, mix, shingle_sets
 
 #: Bits of a token that frequencies are counted by; tokens that share them count as one, which only adds candidates.
-BITS = 56
+BITS = 48
+MASK = np.uint64((1 << 64) - (1 << (64 - BITS)))
 #: Entries up to this size are compared pair by pair at once.
 SMALL = 24
+#: Members of a block where the rest of a large entry meets.
+ODD, OTHER = 256, 1024
 
 
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4_000_000) -> DataFrame:
@@ -50,39 +53,55 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return materialize(own.mapInArrow(run, "block string, ids array<long>, texts binary, sizes binary"), "blocks")
 
 
-def repeated_tokens(parts: DataFrame, words: int, ranges: int) -> DataFrame:
-    """`(block, tokens, counts)`: for each block and token range the tokens found in two documents or more, and in how many."""
-    shift = np.uint64(64 - BITS)
+def block_tokens(row: dict, words: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """A block's shingle sets, and its distinct tokens (cut to BITS) with the number of documents that hold each."""
+    sets = shingle_sets(unpack_texts(row["texts"], row["sizes"]), words)
+    return sets, *np.unique(np.concatenate(sets) & MASK, return_counts=True)
 
-    def send(batches):
-        width = (1 << BITS) // ranges + 1
-        edges = np.arange(1, ranges, dtype=np.uint64) * np.uint64(width)
-        for batch in batches:
-            for row in batch.to_pylist():
-                sets = shingle_sets(unpack_texts(row["texts"], row["sizes"]), words)
-                tokens, n = np.unique(np.concatenate(sets) >> shift, return_counts=True)
-                cuts = [0, *np.searchsorted(tokens, edges).tolist(), len(tokens)]
-                out = [(r, row["block"], pack_ints(tokens[a:b]), pack_array(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)] if out else [pa.array([], t) for t in (pa.int32(), pa.string(), pa.binary(), pa.binary())], names=["r", "block", "tokens", "counts"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        names, parts_ = table.column("block").to_pylist(), [unpack_ints(x.as_py()) for x in table.column("tokens")]
-        n = np.concatenate([unpack_array(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)
-        tokens = np.concatenate(parts_)
-        _, inverse = np.unique(tokens, return_inverse=True)
-        total = np.bincount(inverse, weights=n).astype(np.int64)[inverse]
-        at, out = 0, []
-        for name, own in zip(names, parts_, strict=True):
-            t = total[at : at + len(own)]
-            at += len(own)
-            more = t > 1
-            if more.any():
-                out.append((name, pack_ints(own[more]), pack_array(np.minimum(t[more], 2**32 - 1).astype(np.uint32))))
-        cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({"block": pa.array(cols[0], pa.string()), "tokens": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
-
-    sent = parts.select("block", "texts", "sizes").mapInArrow(send, "r int, block string, tokens binary, counts binary")
-    return sent.groupBy("r").applyInArrow(answer, "block string, tokens binary, counts binary")
+
+def _meet(table: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest of the links between an entry's block of odd members and one of its others.
+
+    Pairs of one component, and those that share a smaller key, are left out.
+    """
+    odd = table.column("odd").to_numpy()
+    x, y = table.filter(pa.array(odd)), table.filter(pa.array(~odd))
+    ids = [t.column("doc_id").to_numpy() for t in (x, y)]
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(x) and len(y):
+        key = table.column("key")[0].as_py()
+        go = x.column("c").to_numpy()[:, None] != y.column("c").to_numpy()[None, :]
+        lists = [[np.asarray(v) for v in t.column("keys").to_numpy()] for t in (x, y)]
+        # pairs that share a smaller key meet there
+        smaller = np.unique(np.concatenate([v[v < key] for side in lists for v in side]))
+        if len(smaller):
+            marks = []
+            for side in lists:
+                m = np.zeros((len(side), len(smaller)), np.float32)
+                for k, v in enumerate(side):
+                    m[k, np.searchsorted(smaller, v[v < key])] = 1
+                marks.append(m)
+            go &= marks[0] @ marks[1].T == 0
+        sets = [[np.asarray(v) for v in t.column("tokens").to_numpy()] for t in (x, y)]
+        tokens, n = np.unique(np.concatenate([v for side in sets for v in side]), return_counts=True)
+        tokens = tokens[n > 1]
+        both = np.zeros(go.shape, np.float32)
+        for at in range(0, len(tokens), 4096):
+            part = tokens[at : at + 4096]
+            marks = []
+            for side in sets:
+                m = np.zeros((len(side), len(part)), np.float32)
+                for k, v in enumerate(side):
+                    m[k, np.flatnonzero(np.isin(part, v, assume_unique=True))] = 1
+                marks.append(m)
+            both += marks[0] @ marks[1].T
+        both = both.astype(np.int64)
+        total = np.array([len(v) for v in sets[0]])[:, None] + np.array([len(v) for v in sets[1]])[None, :] - both
+        a, b = np.nonzero(go & (100 * both >= percent * total))
+    label = forest(a, len(x) + b, len(x) + len(y))
+    every = np.concatenate(ids)
+    use = label != np.arange(len(label))
+    return pa.table({"a": pa.array(every[use], pa.int64()), "b": pa.array(every[label[use]], pa.int64())})
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequent: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,32 +115,32 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     """
     spark = docs.sparkSession
     ranges = max(8, partitions(spark))
-    shift = np.uint64(64 - BITS)
-    parts = text_blocks(docs, id_col, text_col)
-    known = repeated_tokens(parts, words, ranges).groupBy("block").agg(F.collect_list(F.struct("tokens", "counts")).alias("known"))
+    parts = text_blocks(docs, id_col, text_col, 1_500_000)
+    known = ask(parts.select("block", "texts", "sizes"), lambda row: block_tokens(row, words)[1:], ranges)
 
     def signatures(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                sets = shingle_sets(unpack_texts(row["texts"], row["sizes"]), words)
-                got = [(unpack_ints(k["tokens"]), unpack_array(k["counts"], np.uint32)) for k in row["known"] or []]
-                tokens = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.uint64)
-                counts = np.concatenate([g[1] for g in got]) if got else np.zeros(0, np.uint32)
-                order = np.argsort(tokens, kind="stable")
-                tokens, counts = np.append(tokens[order], np.uint64(2**64 - 1)), np.append(counts[order], np.uint32(1))
+            for at in range(batch.num_rows):
+                row = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
+                sets, tokens, _ = block_tokens(row, words)
+                counts = read_answers(tokens, row["answers"], ranges)[2]
                 cols: list[list] = [[], [], [], [], []]
                 for i, s in zip(row["ids"], sets, strict=True):
                     n, keys, own, mark = len(s), None, None, None
                     if n and i is not None:
-                        at = np.searchsorted(tokens, s >> shift)
-                        df = np.where(tokens[at] == s >> shift, counts[at], 1)
+                        df = counts[np.searchsorted(tokens, s & MASK)]
                         p = n - -(-percent * n // 100) + 1
                         if (df > 1).sum() > n - p:  # else its prefix holds tokens of its own only
                             first = np.lexsort((s, df))[: p + 1]
                             short = first[:p]
                             keys = s[short[(df[short] > 1) & (df[short] <= frequent)]].view(np.int64).tolist()
                             often = s[first[df[first] > frequent]]
-                            keys += [int(mix(np.array([a * np.uint64(3) + mix(np.array([b]))[0]]))[0].view(np.int64)) for a, b in combinations(np.sort(often), 2)] if n > 1 else often.view(np.int64).tolist()
+                            if n > 1:
+                                often = np.sort(often)
+                                i_, j_ = np.triu_indices(len(often), 1)
+                                keys += mix(often[i_] * np.uint64(3) + mix(often[j_])).view(np.int64).tolist()
+                            else:
+                                keys += often.view(np.int64).tolist()
                             if n > 1 and p == n and len(often):  # a prefix of all tokens can't be extended
                                 keys += often.view(np.int64).tolist()
                             own, mark = s.view(np.int64), xxhash.xxh3_128_hexdigest(s.tobytes())
@@ -132,17 +151,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
 
     signed = materialize(parts.join(known, "block", "left").mapInArrow(signatures, "doc_id long, n long, keys array<long>, tokens array<long>, mark string"), "signatures")
     near = signed.where("mark is not null")
-    first = materialize(near.groupBy("mark").agg(F.min("doc_id").alias("doc_id")), "marks")
-    sets = near.select("doc_id", "mark", "tokens")
-    index = near.join(first, ["mark", "doc_id"], "left_semi").select(F.explode("keys").alias("key"), "doc_id", "n").distinct()
+    # one row for each distinct set, the candidates from here on
+    reps = materialize(near.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens")), "sets")
+    sets = reps.select("doc_id", "tokens")
+    index = reps.select(F.explode("keys").alias("key"), "doc_id", "n").distinct()
     sizes = index.groupBy("key").agg(F.count("*").alias("m"), F.min("doc_id").alias("pivot")).where("m > 1")
     index = materialize(index.join(sizes, "key"), "index")
 
     def compare(few: DataFrame) -> DataFrame:
         """The pairs of few(a, b) that link."""
-        own = sets.join(first, ["mark", "doc_id"], "left_semi").select("doc_id", "tokens")
-        x = own.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-        y = own.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+        x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+        y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return few.join(x, "a").join(y, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
@@ -155,17 +174,23 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     before = F.lag("doc_id").over(Window.partitionBy("key", "salt").orderBy("n", "doc_id"))
     stars = large.withColumn("before", before).select(F.explode(F.array("pivot", "before")).alias("o"), "doc_id").where("o is not null and o <> doc_id").select(F.least("o", "doc_id").alias("a"), F.greatest("o", "doc_id").alias("b"))
     links = materialize(compare(pairs.union(stars).distinct()), "links")
-    copies = near.join(first.select("mark", F.col("doc_id").alias("a")), "mark").select("a", F.col("doc_id").alias("b")).where("a <> b")
+    copies = near.select("mark", F.col("doc_id").alias("b")).join(reps.select("mark", F.col("doc_id").alias("a")), "mark").select("a", "b").where("a <> b")
     joined = components(links)
-    # what large entries still hold in different components
+    # what large entries still hold in different components meets in blocks, and each pair in one entry only
     left = large.select("key", "doc_id", "n").join(joined, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
     mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     left = materialize(left.join(mixed, "key", "left_semi"), "rest")
     if left.limit(1).count():
-        main = left.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-        odd = left.join(main, "key").where("c <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        other = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        more = odd.join(other, "key").where((F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(materialize(compare(more), "links"))
+        per = left.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
+        per = per.select("key", "main", F.ceil((F.col("m") - F.col("most")) / ODD).alias("oi"), F.ceil(F.col("m") / OTHER).alias("oj"))
+        keys = left.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # no more than a prefix has
+        own = sets.join(keys, "doc_id").select("doc_id", "tokens", "keys")
+        salt = F.xxhash64("doc_id")
+        at = left.join(per, "key").join(own, "doc_id")
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        odd = at.where("c <> main").withColumn("i", F.pmod(salt, F.col("oi"))).withColumn("j", upto("oj")).withColumn("odd", F.lit(True))
+        other = at.withColumn("j", F.pmod(salt, F.col("oj"))).withColumn("i", upto("oi")).withColumn("odd", F.lit(False))
+        held = odd.unionByName(other).select("key", "i", "j", "odd", "doc_id", "c", "tokens", "keys")
+        links = links.union(materialize(held.groupBy("key", "i", "j").applyInArrow(lambda t: _meet(t, percent), "a long, b long"), "links"))
     whole = components(links.union(copies))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
