@@ -11,13 +11,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d/-])"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
+#: A card as it is commonly written, nothing after it.
+_USUAL_CARD = r"(?:\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![ -]?\d)"
+#: A number with a country code, of 8 to 15 digits, that takes no part of an address or a dotted date. The count is spelt
+#: out, as Java's lookbehind takes no such repetition.
+_GENERAL = rf"(?<![\d+])\+\d{{1,3}}[ -]?\(?\d{{2,4}}\)?(?:[ -]?(?!{_IP}|\d\d[./]\d\d[./])\d{{2,4}}){{2,4}}(?!\d)" + r"(?<=\+\d" + r"[ ()-]{0,3}\d" * 7 + r"(?:[ ()-]{0,3}\d)?" * 7 + ")"
+#: North American numbers have ten digits and end there. Others end before a date, a social security number or a card;
+#: a plain number of 2 to 4 digits after one of these cannot be told from its last digits and is replaced with it.
+_PHONE = "|".join([
+    r"(?<![\d+])\+1[ -]?\(?\d{3}\)?[ -]?\d{3}[ -]?\d{4}(?!\d)",
+    rf"{_GENERAL}(?=[ -](?:{_DATE}|{_SSN}|{_USUAL_CARD}))",
+    _GENERAL,
+    r"(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+])
 #: Patterns of the kinds (Java regular expressions, one alternative each); order settles overlaps.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
-    "date": r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d/-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{2,4}\)?(?:[ -]?\d{2,4}){2,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
+    "date": _DATE,
+    "ssn": _SSN,
+    "phone": _PHONE,
+    "ip": _IP,
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]?\d)",
 }
 ROUNDS = 8

@@ -99,6 +99,21 @@ def test_pseudonyms(spark):
     assert pseudonymise(df.limit(0)).count() == 0
 
 
+def test_telephone_numbers_end(spark):
+    phones = ["+1 (826) 555-4081", "+1-826-555-4081", "+18265554081", "(826) 555-4081", "+44 20 7946 0958", "+45 32 12 34 56", "+4915112345678"]
+    others = ["190.137.223.204", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "219-09-9999", "1999-02-28", "31.12.2001"]
+    texts = [*phones, *others, *(f"{p} {x}" for p in phones for x in others), *(f"{p}{x}" for p in phones[:4] for x in (" 42", " 1234", " 42 100 people", ".5"))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {texts[r.doc_id]: (r.text, r.n_pii) for r in pseudonymise(df).collect()}
+    assert all(got[x][1] == 1 and got[x][0] != x for x in [*phones, *others])
+    for p in phones:
+        assert [got[f"{p} {x}"] for x in others] == [(f"{got[p][0]} {got[x][0]}", 2) for x in others]
+    for t, new in got.items():
+        p = next((p for p in phones[:4] if t.startswith(p)), None)
+        if p and t.removeprefix(p) in (" 42", " 1234", " 42 100 people", ".5"):
+            assert new == (got[p][0] + t.removeprefix(p), 1)
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     net = Network()
