@@ -37,6 +37,8 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]?\d)",
 }
 ROUNDS = 8
+#: Days from 1900-01-01 to 2099-12-31, and the sides of an oblong of hardly more.
+DAYS, SIDES = 73_049, (271, 270)
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -122,16 +124,35 @@ def _ip(v: Column, key: str) -> Column:
     return F.when(F.forall(octets, lambda x: x <= 255), out)
 
 
+def permute_days(day: Column, key: str, undo: bool = False) -> Column:
+    """Permutes the numbers below DAYS: a Feistel network over the oblong of SIDES, walked until it is back among them.
+
+    The oblong has 121 numbers that are no day, so a walk has at most 122 steps.
+    """
+
+    def step(s: Column, k: Column) -> Column:
+        even = F.pmod(k, F.lit(2)) == 0
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("date"), k.cast("string"), F.when(even, s["b"]).otherwise(s["a"]).cast("string")), 256)
+        add = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        change = lambda x, size: F.pmod(x - F.pmod(add, F.lit(size)) if undo else x + add, F.lit(size))
+        return F.struct(F.when(even, change(s["a"], SIDES[0])).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(change(s["b"], SIDES[1])).alias("b"))
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / SIDES[1]).cast("long").alias("a"), F.pmod(x, F.lit(SIDES[1])).cast("long").alias("b"))
+        order = range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS)
+        return F.aggregate(F.array(*[F.lit(k) for k in order]), start, step, lambda s: s["a"] * SIDES[1] + s["b"])
+
+    walk = F.sequence(F.lit(1), F.lit(SIDES[0] * SIDES[1] - DAYS))
+    return F.aggregate(walk, once(day.cast("long")), lambda s, _: F.when(s < DAYS, s).otherwise(once(s)))
+
+
 def _date(v: Column, key: str) -> Column:
-    """A calendar date from 1900 to 2099 as its number of days, permuted among those days by cycle walking."""
+    """A calendar date from 1900 to 2099 as its number of days, permuted among those days."""
     iso, sep = v.rlike("^[0-9]{4}-"), F.substring(v, 3, 1)
     first = F.lit("1900-01-01").cast("date")
     d = F.when(iso, F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.regexp_replace(v, "[./]", "-"), F.lit("dd-MM-yyyy"))).cast("date")
-    days = 73049  # days from 1900-01-01 to 2099-12-31
-    start = F.lpad(F.date_diff(d, first).cast("string"), 6, "0")
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(120)), feistel(start, key, "date"), lambda s, _: F.when(s.cast("int") < days, s).otherwise(feistel(s, key, "date")))
-    new = F.date_add(first, walk.cast("int"))
-    return F.when(d.isNotNull() & (walk.cast("int") < days), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy"))))
+    new = F.date_add(first, permute_days(F.date_diff(d, first), key).cast("int"))
+    return F.when(d.isNotNull(), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy"))))
 
 
 def _email(v: Column, key: str) -> Column:
@@ -162,7 +183,8 @@ def pseudonymise(docs: DataFrame, key: str = "tarnflow", text_col: str = "text")
     """`docs` with personal values of `text_col` replaced, and `n_pii` long, the number replaced.
 
     Kinds: payment cards (Luhn), telephone numbers, US social security numbers (range rules), IPv4 addresses
-    (octets), calendar dates, and the names of mail addresses. What fails validation stays as it is.
+    (octets), calendar dates, and the names of mail addresses. What fails validation stays as it is, and so does
+    the rare value that a permutation maps to itself (about one of a kind's, which one depends on the key).
     Nothing is shuffled, and rows without a digit or an @ skip the patterns. A null text
     stays null with n_pii 0, an empty one stays empty. Other columns pass through; a column that is
     already called n_pii is replaced.

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import tarnflow.llm.vector_dedup as vectors
-from tarnflow.llm.pii import feistel, pseudonymise
+from tarnflow.llm.pii import DAYS, feistel, permute_days, pseudonymise
 from tarnflow.llm.toxicity import Network, Toxicity, toxicity, window_starts, without_toxic
 from tarnflow.llm.url_filter import RULES, BoostedTrees, judge
 from pyspark.sql import functions as F
@@ -114,6 +114,19 @@ def test_telephone_numbers_end(spark):
             assert new == (got[p][0] + t.removeprefix(p), 1)
 
 
+@pytest.mark.parametrize("key", ["tarnflow", "other"])
+def test_every_date_has_a_pseudonym(spark, key):
+    days = spark.range(0, DAYS, 1, 8).select("id", F.date_format(F.expr("date_add(date'1900-01-01', cast(id as int))"), "yyyy-MM-dd").alias("text"))
+    rows = pseudonymise(days, key).select("id", "text", "n_pii").collect()
+    own = {r.id: r.text for r in days.collect()}
+    assert sorted(r.text for r in rows) == sorted(own.values())
+    assert sum(r.text == own[r.id] for r in rows) == sum(r.n_pii == 0 for r in rows) <= 4  # a permutation may keep one
+    lost = {"1956-01-19", "1966-10-04", "1978-10-05", "2058-08-07", "2065-01-28"}
+    assert not any(own[r.id] in lost and r.text == own[r.id] for r in rows)
+    some = days.where("id % 97 = 0").select("id", permute_days(F.col("id"), key).alias("p"))
+    assert all(r.id == r.b for r in some.select("id", permute_days(F.col("p"), key, undo=True).alias("b")).collect())
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     net = Network()
