@@ -37,8 +37,10 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]?\d)",
 }
 ROUNDS = 8
-#: Days from 1900-01-01 to 2099-12-31, and the sides of an oblong of hardly more.
-DAYS, SIDES = 73_049, (271, 270)
+#: Days from 1900-01-01 to 2099-12-31; of these, the number of those up to the 12th of a month and of later ones, each with the
+#: sides of an oblong of hardly more.
+DAYS = 73_049
+EARLY, LATE = (28_800, 170, 170), (44_249, 211, 210)
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -125,34 +127,62 @@ def _ip(v: Column, key: str) -> Column:
 
 
 def permute_days(day: Column, key: str, undo: bool = False) -> Column:
-    """Permutes the numbers below DAYS: a Feistel network over the oblong of SIDES, walked until it is back among them.
+    """Permutes the numbers below DAYS, the first 12 days of months and the later ones each among themselves.
 
-    The oblong has 121 numbers that are no day, so a walk has at most 122 steps.
+    So a date that can only be read month first keeps that order, and its pseudonym can be read in no other. Either kind is
+    counted through and permuted by a Feistel network over an oblong of hardly more, walked until it is back in
+    range. The oblongs have 100 and 61 numbers too many, so a walk has at most 101 steps.
     """
+    first = F.lit("1900-01-01").cast("date")
+    date = F.date_add(first, day.cast("int"))
+    month = (F.year(date) - 1900) * 12 + F.month(date) - 1
+    early = F.dayofmonth(date) <= 12
+    n, a, b = (F.when(early, x).otherwise(y).cast("long") for x, y in zip(EARLY, LATE, strict=True))
+    x = F.when(early, month * 12 + F.dayofmonth(date) - 1).otherwise(day - 12 * (month + 1)).cast("long")
+
+    def once(x: Column, t: Column) -> Column:
+        def step(s: Column, k: Column) -> Column:
+            even = F.pmod(k, F.lit(2)) == 0
+            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("date"), t["n"].cast("string"), k.cast("string"), F.when(even, s["b"]).otherwise(s["a"]).cast("string")), 256)
+            add = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+            change = lambda x, size: F.pmod(x - F.pmod(add, size) if undo else x + add, size)
+            return F.struct(F.when(even, change(s["a"], t["a"])).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(change(s["b"], t["b"])).alias("b"))
 
-    def step(s: Column, k: Column) -> Column:
-        even = F.pmod(k, F.lit(2)) == 0
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("date"), k.cast("string"), F.when(even, s["b"]).otherwise(s["a"]).cast("string")), 256)
-        add = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
-        change = lambda x, size: F.pmod(x - F.pmod(add, F.lit(size)) if undo else x + add, F.lit(size))
-        return F.struct(F.when(even, change(s["a"], SIDES[0])).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(change(s["b"], SIDES[1])).alias("b"))
-
-    def once(x: Column) -> Column:
-        start = F.struct(F.floor(x / SIDES[1]).cast("long").alias("a"), F.pmod(x, F.lit(SIDES[1])).cast("long").alias("b"))
         order = range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS)
-        return F.aggregate(F.array(*[F.lit(k) for k in order]), start, step, lambda s: s["a"] * SIDES[1] + s["b"])
+        start = F.struct(F.floor(x / t["b"]).cast("long").alias("a"), F.pmod(x, t["b"]).alias("b"))
+        return F.aggregate(F.array(*[F.lit(k) for k in order]), start, step, lambda s: s["a"] * t["b"] + s["b"])
+
+    def walked(t: Column) -> Column:
+        spare = max(p * q - m for m, p, q in (EARLY, LATE))
+        return F.struct(t["n"].alias("n"), F.aggregate(F.sequence(F.lit(1), F.lit(spare)), once(t["x"], t), lambda s, _: F.when(s < t["n"], s).otherwise(once(s, t))).alias("x"))
+
+    def number(t: Column) -> Column:
+        days = lambda m: F.date_diff(F.add_months(first, m), first)
+        m, x = F.floor(t["x"] / 12).cast("int"), t["x"]
+        # no month begins as much as one from where it would if all were equal
+        near = F.floor(x * 2400 / LATE[0]).cast("int")
+        late = F.array_max(F.filter(F.transform(F.array(near - 1, near, near + 1), lambda m: F.when(days(m) - 12 * m <= x, m)), lambda m: m.isNotNull()))
+        return F.when(t["n"] == EARLY[0], days(m) + F.pmod(x, F.lit(12))).otherwise(x + 12 * (late + 1))
 
-    walk = F.sequence(F.lit(1), F.lit(SIDES[0] * SIDES[1] - DAYS))
-    return F.aggregate(walk, once(day.cast("long")), lambda s, _: F.when(s < DAYS, s).otherwise(once(s)))
+    one = F.array(F.struct(x.alias("x"), n.alias("n"), a.alias("a"), b.alias("b")))
+    return F.transform(F.transform(one, walked), number)[0]
 
 
 def _date(v: Column, key: str) -> Column:
-    """A calendar date from 1900 to 2099 as its number of days, permuted among those days."""
-    iso, sep = v.rlike("^[0-9]{4}-"), F.substring(v, 3, 1)
-    first = F.lit("1900-01-01").cast("date")
-    d = F.when(iso, F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.regexp_replace(v, "[./]", "-"), F.lit("dd-MM-yyyy"))).cast("date")
-    new = F.date_add(first, permute_days(F.date_diff(d, first), key).cast("int"))
-    return F.when(d.isNotNull(), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy"))))
+    """A calendar date from 1900 to 2099 as its number of days, permuted among those days.
+
+    With slashes or dots it is read day first, or else month first, and its pseudonym has the same order.
+    """
+    first, sep = F.lit("1900-01-01").cast("date"), F.substring(v, 3, 1)
+    read = lambda form: F.try_to_timestamp(F.regexp_replace(v, "[./]", "-"), F.lit(form)).cast("date")
+    forms = F.array(*[F.struct(read(f).alias("d"), F.lit(k).alias("k")) for k, f in enumerate(("yyyy-MM-dd", "dd-MM-yyyy", "MM-dd-yyyy"))])
+
+    def written(t: Column) -> Column:
+        new = F.date_add(first, permute_days(F.date_diff(t["d"], first), key).cast("int"))
+        split = lambda d, *fs: F.concat(F.date_format(d, fs[0]), sep, F.date_format(d, fs[1]), sep, F.date_format(d, "yyyy"))
+        return F.transform(F.array(new), lambda d: F.when(t["k"] == 0, F.date_format(d, "yyyy-MM-dd")).when(t["k"] == 1, split(d, "dd", "MM")).otherwise(split(d, "MM", "dd")))[0]
+
+    return F.get(F.transform(F.filter(forms, lambda t: t["d"].isNotNull()), written), F.lit(0))
 
 
 def _email(v: Column, key: str) -> Column:

@@ -127,6 +127,18 @@ def test_every_date_has_a_pseudonym(spark, key):
     assert all(r.id == r.b for r in some.select("id", permute_days(F.col("p"), key, undo=True).alias("b")).collect())
 
 
+def test_dates_month_first(spark):
+    texts = ["1999-12-31", "31/12/1999", "12/31/1999", "12.31.1999", "02/30/1999", "13/13/1999", "02/29/2000", "29.02.2000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.text, r.n_pii) for r in pseudonymise(df).orderBy("doc_id").collect()]
+    y, m, d = got[0][0].split("-")
+    assert int(d) > 12 and got[0][0] != texts[0]  # so month first is the only reading
+    assert [t for t, _ in got[1:4]] == [f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{m}.{d}.{y}"] and [n for _, n in got[:4]] == [1] * 4
+    assert got[4:6] == [(texts[4], 0), (texts[5], 0)]
+    (a, _), (b, _) = got[6:]
+    assert b == f"{a[3:5]}.{a[:2]}.{a[6:]}" and a != texts[6]
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     net = Network()
