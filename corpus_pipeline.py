@@ -21,12 +21,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a Jaccard similarity of 0.8 on five-word shingles the one of least id stays.
 
-    Of repeated rows with one id a single one stays; rows without an id stay.
+    Rows of one id with different values are rows of their own, and lose against other ids; of equal rows a single one stays.
+    Rows without an id are compared among themselves.
     """
-    kept = jaccard_components(docs, words=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    own = docs.withColumn("__h", F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]))
+    # ids as keys where they tell rows apart; other rows get hashes above all usual ids
+    shared = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("__h").alias("a"), F.max("__h").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("__shared"))
+    hashed = F.col("__h").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = own.where("doc_id is not null").join(shared, "doc_id", "left").withColumn("__key", F.when(F.col("__shared"), hashed).otherwise(F.col("doc_id").cast("long")))
+    out = _least(named, docs.columns)
+    nameless = own.where("doc_id is null").withColumn("__key", hashed)
+    return out if nameless.isEmpty() else out.unionByName(_least(nameless, docs.columns))
+
+
+def _least(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Of rows linked by their texts those of least `__key`, once each."""
+    kept = jaccard_components(rows, words=5, percent=80, id_col="__key").where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    one = Window.partitionBy("__key").orderBy(*[F.col(c) for c in columns])
+    return rows.join(kept, "__key", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,3 +34,15 @@ def test_repeated_and_null_rows(spark):
     assert got.count(None) == 5 and got.count(9999) == 1 and len([x for x in got if x not in (None, 9999)]) == len({x for x in got if x not in (None, 9999)})
     for name, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, base.limit(0), SF).count() == 0, name
+
+
+def test_rows_that_share_an_id(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, words(1)), (1, words(2)), (1, words(2)), (2, words(3)), (3, words(3) + " more"), (None, words(4)), (None, words(4)), (None, words(4) + " more"), (None, words(5)), (4, words(2))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(x for x in got if x[0] is not None) == [(1, words(1)), (2, words(3)), (4, words(2))]
+    free = [t for i, t in got if i is None]
+    assert len(free) == 2 and words(5) in free and any(t.startswith(words(4)) for t in free)
