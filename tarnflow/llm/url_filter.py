@@ -171,19 +171,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labelled: Data
         at = counts.setdefault(r[1], [0.0, 0.0])
         at[0] += 1
         at[1] += r[0]
-    # the sample bounds the number of suffixes; rare ones share the value of unknown ones
-    stats = {s: (float(np.log1p(n)), (b + 1) / (n + 2)) for s, (n, b) in sorted(counts.items(), key=lambda x: (-x[1][0], x[0]))[:200]}
+    # the sample bounds the number of suffixes
+    stats = {s: (float(np.log1p(n)), (b + 1) / (n + 2)) for s, (n, b) in counts.items()}
     x = np.array([[*r[2:], *stats.get(r[1], (0.0, 0.5))] for r in rows], dtype=float).reshape(len(rows), len(cols) + 2)
     model = BoostedTrees().fit(x, y)
     names = [*cols, "suffix_count", "suffix_blocked"]
-    suffix = suffix_of(F.col("host"))
-    scored = own.select("*", *[c.alias(f"f_{k}") for k, c in features(F.col("url"), F.col("host"), F.col("path")).items()], *[_lookup(suffix, {s: v[k] for s, v in stats.items()}, (0.0, 0.5)[k]).alias(f"f_{n}") for k, n in enumerate(names[-2:])])
+    table = pages.sparkSession.createDataFrame([(k, *v) for k, v in stats.items()], "s_suffix string, s_count double, s_blocked double")
+    known = own.withColumn("f_suffix", suffix_of(F.col("host"))).join(F.broadcast(table), F.col("f_suffix").eqNullSafe(F.col("s_suffix")), "left")
+    scored = known.select(*own.columns, *[c.alias(f"f_{k}") for k, c in features(F.col("url"), F.col("host"), F.col("path")).items()], F.coalesce("s_count", F.lit(0.0)).alias("f_suffix_count"), F.coalesce("s_blocked", F.lit(0.5)).alias("f_suffix_blocked"))
     scored = scored.withColumn("score", model.expression([F.col(f"f_{n}") for n in names]))
     return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
-
-
-def _lookup(key: Column, table: dict[str, float], otherwise: float) -> Column:
-    if not table:
-        return F.lit(otherwise)
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(otherwise))

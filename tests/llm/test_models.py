@@ -51,6 +51,16 @@ def test_urls(spark):
     assert {r.score for r in judge(df.where("page_id = 6")).collect()} == {0.5}
 
 
+def test_all_suffixes_count(spark):
+    # 300 suffixes of one length and equal counts: only their statistics tell the blocked ones
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    urls = [(f"http://h{j}.{name(k)}/", k * 7 % 10 < 5) for k in range(300) for j in range(4)]
+    labelled = spark.createDataFrame(urls, "url string, blocked boolean")
+    pages = spark.createDataFrame([(k, f"http://h9.{name(k)}/") for k in range(300)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in judge(pages, labelled=labelled).collect()}
+    assert got == {k: "block" if k * 7 % 10 < 5 else "allow" for k in range(300)}
+
+
 def test_trees_as_expression(spark):
     r = np.random.default_rng(0)
     x = r.random((300, 3))
