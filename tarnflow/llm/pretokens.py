@@ -10,22 +10,36 @@ stays inside a chunk and is left to the library.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
-from .common import tokenizer_path
+from .common import kept, tokenizer_path
 
-#: Pre-tokens a worker process remembers; beyond it the memory starts anew. Results don't depend on it.
-REMEMBERED = 1_500_000
+#: Pre-tokens of up to LONGEST bytes that a worker process remembers; beyond it the memory starts anew. Results don't depend on it.
+REMEMBERED, LONGEST = 300_000, 64
 PUNCTUATION = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 #: Words that are handed to the library as one text.
 TOGETHER = 50
-_encoders: dict[str, "ChunkEncoder"] = {}
+#: Bytes of text whose chunks are looked up at once.
+BLOCK = 1_000_000
 
 
 def chunks_of(text: bytes) -> list[bytes]:
-    """White-space separated chunks; lower-cased unless a special token could be inside."""
-    return (text if b"<|" in text else text.lower()).split()
+    """White-space separated chunks; lower-cased unless a special token could be inside, or marks that letters compose with.
+
+    The library composes first, and what a capital composes to may differ from what its small letter does.
+    """
+    return (text if b"<|" in text or b"\xcc" in text or b"\xcd" in text else text.lower()).split()
+
+
+def _letters(text: str) -> bool:
+    """Whether the library surely takes `text` for one run of letters: it composes and lower-cases before it looks.
+
+    Letters of later scripts are left out, as releases of Unicode differ about them.
+    """
+    low = unicodedata.normalize("NFC", text).lower()
+    return text.isalpha() and low.isalpha() and max(text) < "\u0530" and max(low) < "\u0530"
 
 
 class ChunkEncoder:
@@ -37,6 +51,7 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.ids: dict[bytes, bytes] = {}
+        self.passing: list[bytes] = []
 
     def _words(self, words: list[str]):
         """Ids of words of letters only: each is one pre-token, so many go into one text."""
@@ -54,18 +69,21 @@ class ChunkEncoder:
                 yield w, raw[4 * cuts[k] : 4 * cuts[k + 1]]
 
     def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of each chunk as little-endian unsigned 32-bit integers."""
+        """A table with the ids of each chunk as little-endian unsigned 32-bit integers; it holds until the next call."""
         known = self.ids
+        for c in self.passing:
+            known.pop(c, None)
         if len(known) > REMEMBERED:
             known.clear()
         new = [c for c in chunks if c not in known]
+        self.passing = [c for c in new if len(c) > LONGEST]
         apart: dict[bytes, tuple[bytes, bytes]] = {}
         words: dict[bytes, str] = {}
         other: set[bytes] = set()
         for c in new:
             core = c.rstrip(PUNCTUATION)
             text = core.decode("utf-8", "replace")
-            if text.isalpha() and text.isascii() | (len(text) > 1):
+            if text and _letters(text):
                 apart[c] = (core, c[len(core) :])
                 if core not in known:
                     words[core] = text
@@ -76,8 +94,8 @@ class ChunkEncoder:
         for (core, _), (_, ids) in zip(words.items(), self._words(list(words.values())), strict=True):
             known[core] = ids
         rest = list(other)
-        for at in range(0, len(rest), 5000):
-            part = rest[at : at + 5000]
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
             for c, e in zip(part, self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
                 known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
         for c, (core, tail) in apart.items():
@@ -88,13 +106,11 @@ class ChunkEncoder:
 
 def encoder(tokenizer: str) -> ChunkEncoder:
     """This process's encoder for a tokenizer file."""
-    if tokenizer not in _encoders:
-        _encoders[tokenizer] = ChunkEncoder(tokenizer)
-    return _encoders[tokenizer]
+    return kept(f"tokenizer {tokenizer}", lambda: ChunkEncoder(tokenizer))
 
 
 def encoded(texts, tokenizer: str):
-    """Id bytes of each text (null: none), in blocks of about 4 MB of text so that memory stays bounded."""
+    """Id bytes of each text (null: none), in blocks of BLOCK bytes of text so that memory stays bounded."""
     own = encoder(tokenizer)
     block: list[list[bytes]] = []
     held = 0
@@ -107,7 +123,7 @@ def encoded(texts, tokenizer: str):
     for text in texts:
         block.append(chunks_of(text or b""))
         held += len(text or b"")
-        if held > 4_000_000:
+        if held > BLOCK:
             yield from flush()
             block, held = [], 0
     yield from flush()

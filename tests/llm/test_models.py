@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import tarnflow.llm.vector_dedup as vectors
-from tarnflow.llm.pii import DAYS, feistel, permute_days, pseudonymise
+from tarnflow.llm.pii import DAYS, feistel, permute_days, permute_name, permute_ssn, pseudonymise, session_key
 from tarnflow.llm.toxicity import Network, Toxicity, toxicity, window_starts, without_toxic
 from tarnflow.llm.url_filter import RULES, BoostedTrees, judge
 from pyspark.sql import functions as F
@@ -91,7 +91,7 @@ def test_pseudonyms(spark):
         "", None, "nothing here", "version 2.0 of 12 things @home", "x " * 20000 + card, f"{card} {card}",
     ]
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_pii int")
-    out = pseudonymise(df)
+    out = pseudonymise(df, "tarnflow")
     assert out.columns == df.columns
     got = {r.doc_id: (r.text, r.n_pii) for r in out.collect()}
     new = re.match(r"pay (.*), now", got[0][0])[1]
@@ -106,7 +106,32 @@ def test_pseudonyms(spark):
     assert got[11] == (f"{new} {new}", 2)
     assert {r.n_pii for r in pseudonymise(df, key="other").where("doc_id = 0").collect()} == {1}
     assert pseudonymise(df, key="other").where("doc_id = 0").first().text != got[0][0]
-    assert pseudonymise(df.limit(0)).count() == 0
+    assert pseudonymise(df.limit(0), "k").count() == 0
+
+
+def test_numbers_and_names_can_be_undone(spark):
+    rng = random.Random(5)
+    ssns = [f"{a:03}{g:02}{n:04}" for a, g, n in [(1, 1, 1), (665, 99, 9999), (667, 1, 1), (899, 99, 9999), *((rng.choice([rng.randrange(1, 666), rng.randrange(667, 900)]), rng.randrange(1, 100), rng.randrange(1, 10000)) for _ in range(300))]]
+    df = spark.createDataFrame([(x,) for x in ssns], "d string").withColumn("e", permute_ssn(F.col("d"), "k"))
+    for r in df.withColumn("b", permute_ssn(F.col("e"), "k", undo=True)).collect():
+        assert r.b == r.d and re.fullmatch(r"(?!000|666|9)\d{3}(?!00)\d\d(?!0000)\d{4}", r.e)
+    names = ["a", "ab", "John.Doe_7", "john.doe_7", "x" * 64, "a-1+b.C", "99", "."]
+    df = spark.createDataFrame([(x,) for x in names], "n string").withColumn("e", permute_name(F.col("n"), F.lit("@x.org"), "k"))
+    got = {r.n: (r.e, r.b) for r in df.withColumn("b", permute_name(F.col("e"), F.lit("@X.org"), "k", undo=True)).collect()}
+    shape = lambda x: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", x)))
+    assert all(b == n and shape(e) == shape(n) for n, (e, b) in got.items())
+    assert got["John.Doe_7"][0].lower() == got["john.doe_7"][0] != "john.doe_7"
+    pairs = [a + b for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789"]
+    out = spark.createDataFrame([(x,) for x in pairs], "n string").select(permute_name(F.col("n"), F.lit("@x"), "k").alias("e")).collect()
+    assert sorted(r.e for r in out) == pairs
+
+
+def test_the_key_is_a_setting(spark):
+    with pytest.warns(UserWarning, match="open key"):
+        assert session_key(spark) == "tarnflow"
+    spark.conf.set("spark.tarnflow.pii.key", "secret")
+    assert session_key(spark) == "secret"
+    spark.conf.unset("spark.tarnflow.pii.key")
 
 
 def test_telephone_numbers_end(spark):
@@ -114,7 +139,7 @@ def test_telephone_numbers_end(spark):
     others = ["190.137.223.204", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "219-09-9999", "1999-02-28", "31.12.2001"]
     texts = [*phones, *others, *(f"{p} {x}" for p in phones for x in others), *(f"{p}{x}" for p in phones[:4] for x in (" 42", " 1234", " 42 100 people", ".5"))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {texts[r.doc_id]: (r.text, r.n_pii) for r in pseudonymise(df).collect()}
+    got = {texts[r.doc_id]: (r.text, r.n_pii) for r in pseudonymise(df, "tarnflow").collect()}
     assert all(got[x][1] == 1 and got[x][0] != x for x in [*phones, *others])
     for p in phones:
         assert [got[f"{p} {x}"] for x in others] == [(f"{got[p][0]} {got[x][0]}", 2) for x in others]
@@ -140,7 +165,7 @@ def test_every_date_has_a_pseudonym(spark, key):
 def test_dates_month_first(spark):
     texts = ["1999-12-31", "31/12/1999", "12/31/1999", "12.31.1999", "02/30/1999", "13/13/1999", "02/29/2000", "29.02.2000"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [(r.text, r.n_pii) for r in pseudonymise(df).orderBy("doc_id").collect()]
+    got = [(r.text, r.n_pii) for r in pseudonymise(df, "tarnflow").orderBy("doc_id").collect()]
     y, m, d = got[0][0].split("-")
     assert int(d) > 12 and got[0][0] != texts[0]  # so month first is the only reading
     assert [t for t, _ in got[1:4]] == [f"{d}/{m}/{y}", f"{m}/{d}/{y}", f"{m}.{d}.{y}"] and [n for _, n in got[:4]] == [1] * 4

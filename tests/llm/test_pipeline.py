@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +48,28 @@ def test_rows_that_share_an_id(spark):
     assert sorted(x for x in got if x[0] is not None) == [(1, words(1)), (2, words(3)), (4, words(2))]
     free = [t for i, t in got if i is None]
     assert len(free) == 2 and words(5) in free and any(t.startswith(words(4)) for t in free)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_odd_rows_pass_every_stage(spark, tmp_path, stage):
+    """Nulls, empty and long texts, repeated rows, empty tables, and columns whose names clash with results or have dots."""
+    long = " ".join(f"v{k}" for k in range(30_000))
+    rows = [(1, "plain words of no harm " * 3, {"a": 1}), (1, "plain words of no harm " * 3, {"a": 1}), (2, None, None), (3, "", {}), (4, long, {"b": 2}), (None, "some other text here, mail me: ann.lee@x.org", None), (None, None, None)]
+    schema = "doc_id long, text string, n_chars long, n_pii int, component_id string, n_shingles string, key string, digest string, score string, __n string, __key string, `a.b` string, m map<string,int>"
+    docs = spark.createDataFrame([(i, t, 0, 9, *"cskdsnka", m) for i, t, m in rows], schema)
+    spark.createDataFrame([(1, 0, 0), (77, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item that stands in no text at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, docs, str(tmp_path))
+    got = out.collect()
+    assert run(spark, docs.limit(0), str(tmp_path)).count() == 0
+    if name == "packing":
+        assert sorted(r.doc_id is None for r in got if r.piece == 0).count(True) == 2 and len([r for r in got if r.piece == 0]) == 7
+        return
+    assert out.columns == docs.columns
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got)
+    assert ids == ([(False, 1), (False, 2), (False, 3), (False, 4), (True, 0), (True, 0)] if name == "near copies" else [(False, 1), (False, 1), (False, 2), (False, 3), (False, 4), (True, 0), (True, 0)])
+    assert all((r.n_pii, r.component_id, r["a.b"]) == (9, "c", "a") for r in got)
+    assert next(r.text for r in got if r.doc_id == 4) == long and all(r.text is None for r in got if r.doc_id == 2)
+    if name == "personal values":
+        assert not any("ann.lee@" in (r.text or "") for r in got)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import tarnflow.llm.decontaminate as decontaminate
 import tarnflow.llm.jaccard_join as jaccard
 from tarnflow.llm.common import components, tokenizer_path
 from tarnflow.llm.decontaminate import Items, banded_distance, leaks, normalise, without_leaks
@@ -192,8 +193,18 @@ def jaccard_by_hand(rows, n, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("small", "frequent", "percent"), [(24, 4096, 80), (2, 4096, 85), (2, 3, 85), (24, 2, 70)])
-def test_jaccard(spark, monkeypatch, small, frequent, percent):
+def test_encoding_of_any_characters(library):
+    special = ["İ", "I\u0307", "J\u030c", "H\u0331", "ß", "Σ", "\u0301", "\u0345", "ﬁ", "ǅ", "K", "A\u030a", "é", "e\u0301", "٣", "字", "한", "\u1100\u1161", "\xa0", "\u2003", "\x85", "\x1c", "\x0b", "\u200b", "\u200d", "🙂", "<|", "|>", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "'RE", "ª", "Ⅷ", "²", "\0", "Ա", "ꭰ"]
+    rng = random.Random(9)
+    one = lambda: rng.choice("aAbBiItTsSzZ09 .,!?$'\"-_()<>|=\n\t ") if rng.random() < 0.6 else rng.choice(special) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(0xE000, 0x1FFFF)]))
+    texts = ["aİ$", *("".join(one() for _ in range(rng.randrange(1, 30))) for _ in range(20_000))]
+    got = encoded([t.encode() for t in texts], "word_bpe_49k.json")
+    assert not [t for t, x in zip(texts, got, strict=True) if np.frombuffer(x, "<u4").tolist() != library(t)]
+
+
+@pytest.mark.parametrize(("small", "frequent", "percent", "wide"), [(24, 4096, 80, 512), (2, 4096, 85, 512), (2, 3, 85, 512), (24, 2, 70, 512), (24, 2, 85, 20), (2, 2, 80, 8)])
+def test_jaccard(spark, monkeypatch, small, frequent, percent, wide):
+    monkeypatch.setattr(jaccard, "WIDE", wide)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "ODD", 8)
     monkeypatch.setattr(jaccard, "OTHER", 16)
@@ -245,7 +256,19 @@ def distance_by_hand(item, text):
     return min(before)
 
 
-def test_leaks(spark):
+def test_more_pairs_than_32_bits_count():
+    rng = random.Random(2)
+    items = ["".join(rng.choice("abcdefgh ") for _ in range(20)).strip() + " zz tail of all" for _ in range(60_000)]
+    known = Items(list(range(len(items))), items, 0.1)
+    texts = ["x"] * 40_000 + [items[k] for k in (0, 31_234, 59_999)] + ["y " * 300_000 + items[77]]
+    assert len(texts) * len(items) > 1 << 31
+    got = known.search(texts)
+    assert {(40_000, 0), (40_001, 31_234), (40_002, 59_999), (40_003, 77)} <= {x[:2] for x in got if x[2] == 0}
+
+
+@pytest.mark.parametrize("hits", [1_000_000, 40])
+def test_leaks(spark, monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "HITS", hits)
     rng = random.Random(8)
     some = lambda n: " ".join("".join(rng.choice("abcdefgh ") for _ in range(n)).split())
     items = [some(120) for _ in range(5)]
