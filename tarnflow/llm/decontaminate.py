@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filter_rows
 from .shingles import blocks
 
 #: Bytes of a q-gram: they fill a 64-bit integer.
 Q = 8
-#: Bytes of benchmark text that go to the executors at once; a larger benchmark takes several passes.
-ITEM_BYTES = 16_000_000
+#: Bytes of benchmark text in a part. Parts are broadcast, a worker holds about 20 bytes for each byte of one, and a larger benchmark takes a
+#: pass for each part.
+ITEM_BYTES = 4_000_000
+#: Hits of q-grams that are looked at together; where a text has more, items are taken in turns.
+HITS = 1_000_000
 _PLAIN = bytes(x if x >= 128 or chr(x).isalnum() or not x else 32 for x in range(256))
 
 
@@ -117,11 +121,11 @@ class Items:
         self.bound = self.n - Q + 1 - self.budget * Q
         g = [grams(x) for x in self.data]
         flat = np.concatenate(g) if g else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.item = np.repeat(np.arange(len(g)), [len(x) for x in g])[order].astype(np.int64)
-        self.offset = (np.concatenate([np.arange(len(x)) for x in g]) if g else np.zeros(0, np.int64))[order]
-        self.grams, self.first = np.unique(flat[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(flat)))
+        order = np.argsort(flat, kind="stable").astype(np.int32)
+        self.place = order  # where the q-grams stand, all items one after the other; of equal q-grams in order of items
+        self.begin = np.concatenate([[0], np.cumsum([len(x) for x in g])]).astype(np.int64)
+        self.grams, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat)).astype(np.int32)
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[self._slot(self.grams)] = True
 
@@ -143,37 +147,72 @@ class Items:
         k[k == len(self.grams)] = 0
         real = self.grams[k] == g[at]
         at, k = at[real], k[real]
-        n = self.count[k]
-        where = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        item, doc = self.item[where], np.searchsorted(ends, at)
-        diagonal = at - starts[doc] - self.offset[where] + int(self.n.max())
+        doc = np.searchsorted(ends, at)
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        # texts one after the other as long as their hits are few enough
+        hits = np.concatenate([[0], np.cumsum((self.first[k + 1] - self.first[k]).astype(np.int64))])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(at)]]) if len(at) else np.zeros(1, np.int64)
+        lo = 0
+        while lo < len(cuts) - 1:
+            hi = max(lo + 1, int(np.searchsorted(hits[cuts], hits[cuts[lo]] + HITS, "right")) - 1)
+            part = slice(cuts[lo], cuts[hi])
+            turns = -(-int(hits[cuts[hi]] - hits[cuts[lo]]) // HITS)
+            for turn in range(turns):
+                self._pairs(data, starts, ends, at[part], k[part], doc[part], turn, turns, best)
+            lo = hi
+        return [(d, i, *x) for (d, i), x in sorted(best.items())]
+
+    def _expand(self, k: np.ndarray, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray]:
+        """For q-grams k: (index into k, place among the items' q-grams) of each hit; of several turns, those of every so many items."""
+        if turns == 1:
+            n = self.first[k + 1] - self.first[k]
+            own = np.repeat(np.arange(len(k)), n)
+            return own, self.place[np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())].astype(np.int64)
+        out = []
+        step = max(1, HITS // max(1, int((self.first[k + 1] - self.first[k]).max())))
+        for a in range(0, len(k), step):
+            own, place = self._expand(k[a : a + step], 0, 1)
+            use = (np.searchsorted(self.begin, place, "right") - 1) % turns == turn
+            out.append((own[use] + a, place[use]))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+    def _pairs(self, data, starts, ends, at, k, doc, turn, turns, best) -> None:
+        """Adds to `best` what the q-gram hits at offsets `at` lead to."""
+        own, place = self._expand(k, turn, turns)
+        if not len(own):
+            return
+        item = np.searchsorted(self.begin, place, "right") - 1
+        offset, at, doc = place - self.begin[item], at[own], doc[own]
+        diagonal = at - starts[doc] - offset + int(self.n.max())
         width = self.budget[item] + 1
-        key = ((doc * len(self.ids) + item) << 32) | (diagonal // width)
+        # pairs of a text and an item are numbered, so that a pair and its band fit one integer
+        pairs, number = np.unique(doc * len(self.ids) + item, return_inverse=True)
+        lane = diagonal // width
+        lanes = int(lane.max()) + 2  # bands of two pairs are no neighbours
+        key = number * lanes + lane
         band, hits = np.unique(key, return_counts=True)
         follows = np.concatenate([band[1:] == band[:-1] + 1, [False]])
         both = hits + np.where(follows, np.concatenate([hits[1:], [0]]), 0)
-        pair = band >> 32
+        pair = pairs[band // lanes]
         held = np.flatnonzero(both >= self.bound[pair % len(self.ids)])
         if not len(held):
-            return []
+            return
         # of those bands, count every q-gram of the item once
         place = np.searchsorted(band, key)
         near = np.zeros(len(band), dtype=bool)
         near[held] = near[np.minimum(held + follows[held], len(band) - 1)] = True
         use = near[place]
-        code, offset = place[use], self.offset[where][use]
+        code, offset = place[use], offset[use]
         twin = np.flatnonzero(follows[np.maximum(code - 1, 0)] & (code > 0))  # hits that the band before holds too
         code, offset = np.concatenate([code, code[twin] - 1]), np.concatenate([offset, offset[twin]])
         single = np.unique(code * (int(self.n.max()) + 1) + offset) // (int(self.n.max()) + 1)
         held = held[np.bincount(single, minlength=len(band))[held] >= self.bound[pair[held] % len(self.ids)]]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for h in held.tolist():
             d, i = divmod(int(pair[h]), len(self.ids))
             most, w = int(self.budget[i]), int(self.budget[i]) + 1
             if best.get((d, i), (1,))[0] == 0:
                 continue
-            low = int(band[h] & 0xFFFFFFFF) * w - int(self.n.max()) - most
+            low = int(band[h] % lanes) * w - int(self.n.max()) - most
             high = low + 2 * w + 2 * most
             text = data[starts[d] : ends[d]]
             lo, hi = max(0, low), min(len(text), high + int(self.n[i]))
@@ -186,21 +225,21 @@ class Items:
             edits, a, b = banded_distance(self.data[i], text[lo:hi], low - lo, high - lo, most)
             if edits <= most and ((d, i) not in best or edits < best[(d, i)][0]):
                 best[(d, i)] = (edits, lo + a, lo + b)
-        return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
 
 def _items(benchmark: DataFrame, share: float, id_col: str, text_col: str):
-    """The benchmark in parts of at most ITEM_BYTES of text; it is a query set, read row by row."""
+    """The benchmark in parts of about ITEM_BYTES of text, broadcast; it is a query set, read row by row."""
+    send = benchmark.sparkSession.sparkContext.broadcast
     ids, texts, held = [], [], 0
     for r in benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(text_col).isNotNull()).toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         held += len(r[1])
         if held >= ITEM_BYTES:
-            yield Items(ids, texts, share)
+            yield send(Items(ids, texts, share))
             ids, texts, held = [], [], 0
     if ids:
-        yield Items(ids, texts, share)
+        yield send(Items(ids, texts, share))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -208,13 +247,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, id_col: str
 
     An item occurs if an edit distance of at most `share` of its length (less for very short ones, so that the filter stays
     sound) turns it into a part of the document, both normalised; start and end are offsets there, and
-    similarity is 1 - edits / length. Whole texts are searched. Null and empty texts hold nothing; items that are null or shorter than
+    similarity is 1 - edits / length. Whole texts are searched, of any length. Null and empty texts hold nothing, and an empty table on either side
+    gives no rows; items that are null or shorter than
     Q normalised bytes are skipped; repeated rows are searched repeatedly; null ids are kept. Nothing is shuffled.
     """
     out = None
-    for items in _items(benchmark, share, item_id, item_text):
+    for shared in _items(benchmark, share, item_id, item_text):
 
-        def run(batches, items=items):
+        def run(batches, shared=shared):
+            items = shared.value
             for batch in batches:
                 for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1)):
                     rows = [(ids[d], items.ids[i], e, 1 - e / int(items.n[i]), a, b) for d, i, e, a, b in items.search([t.decode("utf-8", "replace") for t in texts])]
@@ -228,18 +269,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, id_col: str
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns as they are, whose text holds no benchmark item; nothing is shuffled."""
-    for items in _items(benchmark, share, item_id, item_text):
+    """The rows of `docs`, all columns as they are, whose text holds no benchmark item; nothing is shuffled.
 
-        def run(batches, items=items):
+    Null and empty texts stay, as do repeated rows, null ids, and all rows if the benchmark is empty.
+    """
+    for shared in _items(benchmark, share, item_id, item_text):
+
+        def keep(batches, place, shared=shared):
+            items = shared.value
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-                bad = []
-                for at, part in blocks(range(batch.num_rows), texts):
-                    bad += [at[d] for d, *_ in items.search([t.decode("utf-8", "replace") for t in part])]
-                keep = np.ones(batch.num_rows, dtype=bool)
-                keep[bad] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
+                for at, part in blocks(range(batch.num_rows), batch.column(place).cast(pa.binary())):
+                    clean = np.ones(len(at), dtype=bool)
+                    clean[[d for d, *_ in items.search([t.decode("utf-8", "replace") for t in part])]] = False
+                    yield batch.slice(at[0], len(at)).filter(pa.array(clean))
+
+        docs = filter_rows(docs, text_col, keep)
     return docs
