@@ -2,13 +2,15 @@
 
 A value is found by its pattern, validated, and replaced by another valid value of the same format: a keyed
 Feistel permutation over its digits, with separators kept and check digits made anew. The permutation
-depends on the key, the kind and the number of digits only, so equal values stay linked across documents, and
-whoever holds the key can undo it.
+depends on the key, the kind and the number of digits only (for mail names, on the classes of their characters and the
+domain), so equal values stay linked across documents, and whoever holds the key can undo it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DATE = r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d[./]\d\d[./](?:19|20)\d\d)(?![\d/-])"
@@ -42,6 +44,18 @@ ROUNDS = 8
 DAYS = 73_049
 EARLY, LATE = (28_800, 170, 170), (44_249, 211, 210)
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Numbers of valid (area, group) pairs and of valid serials of social security numbers.
+AREA_GROUPS, SERIALS = 898 * 99, 9999
+#: The setting that holds the key, and the key of a session without it: it hides nothing from a reader of this file.
+KEY_SETTING, OPEN_KEY = "spark.tarnflow.pii.key", "tarnflow"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in KEY_SETTING; without it the open one, with a warning."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with an open key and anyone can undo them", stacklevel=2)
+    return key or OPEN_KEY
 
 
 def feistel(digits: Column, key: str, kind: str, undo: bool = False) -> Column:
@@ -104,12 +118,30 @@ def _phone(v: Column, key: str) -> Column:
     return F.when(F.length(_digits(v)).between(8, 15), F.concat(code, _in_format(rest, feistel(d, key, "phone"))))
 
 
+def permute_ssn(digits: Column, key: str, undo: bool = False) -> Column:
+    """Permutes the valid numbers among themselves: a Feistel network over (area and group, serial), which are a full oblong."""
+    area, group, serial = (F.substring(digits, *x).cast("long") for x in ((1, 3), (4, 2), (6, 4)))
+    state = F.struct(((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1).alias("a"), (serial - 1).alias("b"))
+
+    def step(s: Column, k: Column) -> Column:
+        even = F.pmod(k, F.lit(2)) == 0
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("ssn"), k.cast("string"), F.when(even, s["b"]).otherwise(s["a"]).cast("string")), 256)
+        add = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+        change = lambda x, size: F.pmod(x - F.pmod(add, F.lit(size)) if undo else x + add, F.lit(size))
+        return F.struct(F.when(even, change(s["a"], AREA_GROUPS)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(change(s["b"], SERIALS)).alias("b"))
+
+    def written(s: Column) -> Column:
+        area = F.floor(s["a"] / 99) + 1
+        parts = (area + F.when(area >= 666, 1).otherwise(0), F.pmod(s["a"], F.lit(99)) + 1, s["b"] + 1)
+        return F.concat(*[F.lpad(x.cast("string"), n, "0") for x, n in zip(parts, (3, 2, 4), strict=True)])
+
+    return F.aggregate(F.array(*[F.lit(k) for k in (range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS))]), state, step, written)
+
+
 def _ssn(v: Column, key: str) -> Column:
-    """Area, group and serial of a valid number; the permuted number is walked into the valid ones."""
+    """Area, group and serial of a valid number."""
     d = _digits(v)
-    valid = lambda x: ~x.rlike("^(?:000|666|9)|^...00|0000$")
-    out = F.aggregate(F.sequence(F.lit(1), F.lit(12)), feistel(d, key, "ssn"), lambda s, _: F.when(valid(s), s).otherwise(feistel(s, key, "ssn")))
-    return F.when(valid(d), _in_format(v, out))
+    return F.when(~d.rlike("^(?:000|666|9)|^...00|0000$"), _in_format(v, permute_ssn(d, key)))
 
 
 def _ip(v: Column, key: str) -> Column:
@@ -185,19 +217,40 @@ def _date(v: Column, key: str) -> Column:
     return F.get(F.transform(F.filter(forms, lambda t: t["d"].isNotNull()), written), F.lit(0))
 
 
+def permute_name(local: Column, domain: Column, key: str, undo: bool = False) -> Column:
+    """Permutes the names of a domain that have the same classes (digit, small letter, capital, the character itself) at each place.
+
+    A Feistel network whose halves are the front and the back of the name: every round moves each letter and digit of one half
+    within its class, by bytes of a keyed digest of the other half. Capitals go the way of their small letters.
+    """
+    n = F.length(local)
+    half = F.floor(n / 2).cast("int")
+    state = F.struct(F.substring(local, F.lit(1), half).alias("a"), F.substring(local, half + 1, n).alias("b"))
+
+    def moved(x: Column, other: Column, k: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), k.cast("string"), F.lower(domain), F.lower(other)), 256)
+
+        def swap(c: Column, place: Column) -> Column:
+            by = F.conv(F.substring(digest, F.pmod(place, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            by = -by if undo else by
+            letter = F.substring(F.lit(_LETTERS), F.pmod(F.instr(F.lit(_LETTERS), F.lower(c)) - 1 + by, F.lit(26)) + 1, F.lit(1))
+            return F.when(c.rlike("^[0-9]$"), F.pmod(c.try_cast("int") + by, F.lit(10)).cast("string")).when(c.rlike("^[a-z]$"), letter).when(c.rlike("^[A-Z]$"), F.upper(letter)).otherwise(c)
+
+        return F.array_join(F.transform(F.split(x, ""), swap), "")
+
+    def step(s: Column, k: Column) -> Column:
+        even = F.pmod(k, F.lit(2)) == 0
+        new = moved(F.when(even, s["a"]).otherwise(s["b"]), F.when(even, s["b"]).otherwise(s["a"]), k)
+        return F.struct(F.when(even, new).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(new).alias("b"))
+
+    return F.aggregate(F.array(*[F.lit(k) for k in (range(ROUNDS - 1, -1, -1) if undo else range(ROUNDS))]), state, step, lambda s: F.concat(s["a"], s["b"]))
+
+
 def _email(v: Column, key: str) -> Column:
-    """Letters and digits of the part before the @ are replaced by keyed ones of the same class; the domain stays."""
+    """The part before the @ is permuted; the domain stays."""
     at = F.instr(v, "@")
     local, domain = F.substring(v, F.lit(1), at - 1), F.substring(v, at, F.length(v))
-    digest = F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lit(str(k)), F.lower(v)), 256) for k in range(2)])
-    pick = lambda k: F.conv(F.substring(digest, k * 2 + 1, F.lit(2)), 16, 10).cast("int")
-
-    def swap(c: Column, k: Column) -> Column:
-        n = pick(F.pmod(k, F.lit(64)))
-        small = F.substring(F.lit(_LETTERS), F.pmod(n, F.lit(26)) + 1, F.lit(1))
-        return F.when(c.rlike("^[0-9]$"), F.pmod(n, F.lit(10)).cast("string")).when(c.rlike("^[a-z]$"), small).when(c.rlike("^[A-Z]$"), F.upper(small)).otherwise(c)
-
-    return F.concat(F.array_join(F.transform(F.split(local, ""), swap), ""), domain)
+    return F.concat(permute_name(local, domain, key), domain)
 
 
 _MAKERS = {"email": _email, "date": _date, "ssn": _ssn, "phone": _phone, "ip": _ip, "card": _card}
@@ -209,14 +262,15 @@ def _pseudonym(v: Column, key: str) -> Column:
     return F.coalesce(*tried, v)
 
 
-def pseudonymise(docs: DataFrame, key: str = "tarnflow", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """`docs` with personal values of `text_col` replaced, and `n_pii` long, the number replaced.
 
     Kinds: payment cards (Luhn), telephone numbers, US social security numbers (range rules), IPv4 addresses
     (octets), calendar dates, and the names of mail addresses. What fails validation stays as it is, and so does
     the rare value that a permutation maps to itself (about one of a kind's, which one depends on the key).
     Nothing is shuffled, and rows without a digit or an @ skip the patterns. A null text
-    stays null with n_pii 0, an empty one stays empty. Other columns pass through; a column that is
+    stays null with n_pii 0, an empty one stays empty, and a very long one is searched as a whole. Null ids, repeated rows and
+    empty tables need no care, as each row stands for itself. Other columns pass through; a column that is
     already called n_pii is replaced.
     """
     pattern = "|".join(f"(?:{p})" for p in PATTERNS.values())

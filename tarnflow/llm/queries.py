@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import leaks
 from .jaccard_join import jaccard_components
 from .packing import pack
-from .pii import pseudonymise
+from .pii import pseudonymise, session_key
 from .suffix_dedup import remove_repeats
 from .token_counts import token_counts
 from .token_files import token_file_roundtrip
@@ -41,7 +41,7 @@ def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
