@@ -17,26 +17,39 @@ from pyspark.sql import functions as F
 from .packed import pack_array, pack_ints, unpack_array, unpack_ints
 
 
-def _cuts(values: np.ndarray, ranges: int) -> list[int]:
-    edges = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
-    return [0, *np.searchsorted(values, edges).tolist(), len(values)]
+#: Bytes of text whose fingerprints meet in one task, about, and ranges of values in it, so that tasks are even.
+TASK, RANGES = 24_000_000, 3
 
 
-def ask(parts: DataFrame, fingerprints: Callable[[dict], tuple[np.ndarray, np.ndarray | None]], ranges: int) -> DataFrame:
+def _pieces(values: np.ndarray, ranges: int) -> tuple[np.ndarray, list[int]]:
+    """The ranges that sorted values lie in, and the cuts between them."""
+    r = (values // np.uint64(-(-(1 << 64) // ranges))).astype(np.int64)
+    edges = np.flatnonzero(np.diff(r)) + 1
+    return r[np.concatenate([[0], edges])] if len(r) else r, [0, *edges.tolist(), len(r)]
+
+
+def tasks_for(blocks: int, size: int) -> int:
+    """How many tasks the exchange of that many blocks of `size` bytes of text takes."""
+    return max(8, -(-blocks * size // TASK))
+
+
+def ask(parts: DataFrame, fingerprints: Callable[[dict], tuple[np.ndarray, np.ndarray | None]], tasks: int) -> DataFrame:
     """`(block, answers)` for `parts(block, ...)`.
 
     `fingerprints` gives a block's sorted distinct values from its row, and how often each occurs there (None: once
     each). An answer holds a bit for each value that occurs twice or more in all, the totals of those, and
-    a bit for each value of which this block is the first holder.
+    a bit for each value of which this block is the first holder. A range is a task's work in memory; `tasks_for` says how many
+    it takes.
     """
+    ranges = tasks * RANGES
 
     def send(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 values, n = fingerprints(row)
-                cuts = _cuts(values, ranges)
-                out = [(r, pack_ints(values[a:b]), None if n is None else pack_array(n[a:b].astype(np.uint32))) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+                at, cuts = _pieces(values, ranges)
+                out = [(r, pack_ints(values[a:b]), None if n is None else pack_array(n[a:b].astype(np.uint32))) for r, a, b in zip(at.tolist(), cuts[:-1], cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([row["block"]] * len(out), pa.string()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["r", "block", "own", "n"])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -60,16 +73,17 @@ def ask(parts: DataFrame, fingerprints: Callable[[dict], tuple[np.ndarray, np.nd
         return pa.table({"r": table.column("r"), "block": table.column("block"), "more": pa.array(bits[0], pa.binary()), "first": pa.array(bits[1], pa.binary()), "totals": pa.array(totals, pa.binary())})
 
     sent = parts.mapInArrow(send, "r int, block string, own binary, n binary")
-    back = sent.groupBy("r").applyInArrow(answer, "r int, block string, more binary, first binary, totals binary")
+    back = sent.repartition(tasks, "r").groupBy("r").applyInArrow(answer, "r int, block string, more binary, first binary, totals binary")
     return back.groupBy("block").agg(F.collect_list(F.struct("r", "more", "first", "totals")).alias("answers"))
 
 
-def read_answers(values: np.ndarray, answers: list[dict] | None, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_answers(values: np.ndarray, answers: list[dict] | None, tasks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(occurs twice or more, this block is its first holder, how often in all) for a block's sorted distinct values."""
     more, first, total = np.zeros(len(values), dtype=bool), np.zeros(len(values), dtype=bool), np.ones(len(values), dtype=np.int64)
-    cuts = _cuts(values, ranges)
+    at, cuts = _pieces(values, tasks * RANGES)
+    place = {r: (a, b) for r, a, b in zip(at.tolist(), cuts[:-1], cuts[1:], strict=False)}
     for x in answers or []:
-        a, b = cuts[x["r"]], cuts[x["r"] + 1]
+        a, b = place[x["r"]]
         for out, name in ((more, "more"), (first, "first")):
             out[a:b] = np.unpackbits(unpack_array(x[name], np.uint8), count=b - a)
         total[a:b][more[a:b]] = unpack_array(x["totals"], np.uint32)

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
-from .exchange import ask, read_answers
+from .common import materialize
+from .exchange import ask, read_answers, tasks_for
 from .jaccard_join import text_blocks
 from .packed import unpack_texts
 from .shingles import mix, powers, prefix_sums
 
+#: Bytes of text in a block.
+BLOCK = 1_500_000
 _LATER = np.uint64(0x94D049BB133111EB)
 
 
@@ -98,9 +100,9 @@ class _Block:
     def _marked(self) -> np.ndarray:
         return mix(self.marks ^ _LATER)
 
-    def settle(self, answers, ranges: int) -> None:
+    def settle(self, answers, tasks: int) -> None:
         """Takes the first answers: which documents are whole copies, and which strings go on."""
-        more, first, _ = read_answers(self.values, answers, ranges)
+        more, first, _ = read_answers(self.values, answers, tasks)
         again = more | (self.n_values > 1)
         at = np.searchsorted(self.values, self._marked())
         self.copy = again[at] & (self.sizes >= self.length)
@@ -133,24 +135,24 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     if length % 2 or length < 32:
         raise ValueError("length must be even and at least 32")
-    ranges = max(8, partitions(docs.sparkSession))
-    parts = text_blocks(docs, id_col, text_col, 1_500_000).select("block", "ids", "texts", "sizes")
-    once = materialize(ask(parts.select("block", "texts", "sizes"), lambda row: (_Block(row, length).values, None), ranges), "buckets")
+    parts = text_blocks(docs, id_col, text_col, BLOCK).select("block", "ids", "texts", "sizes")
+    tasks = tasks_for(parts.count(), BLOCK)
+    once = materialize(ask(parts.select("block", "texts", "sizes"), lambda row: (_Block(row, length).values, None), tasks), "buckets")
 
     def second(row: dict) -> tuple[np.ndarray, None]:
         b = _Block(row, length)
-        b.settle(row["answers"], ranges)
+        b.settle(row["answers"], tasks)
         return b.whole, None
 
-    twice = ask(parts.select("block", "texts", "sizes").join(once, "block", "left"), second, ranges).withColumnRenamed("answers", "then")
+    twice = ask(parts.select("block", "texts", "sizes").join(once, "block", "left"), second, tasks).withColumnRenamed("answers", "then")
 
     def cut(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
                 b = _Block(row, length)
-                b.settle(row["answers"], ranges)
-                more, _, _ = read_answers(b.whole, row["then"], ranges)
+                b.settle(row["answers"], tasks)
+                more, _, _ = read_answers(b.whole, row["then"], tasks)
                 again = (more | (b.n_whole > 1))[b.place] if len(b.at) else np.zeros(0, dtype=bool)
                 step = np.zeros(int(b.sizes.sum()) + 1, dtype=np.int32)
                 np.add.at(step, b.at[again], 1)
