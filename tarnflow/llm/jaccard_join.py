@@ -7,7 +7,8 @@
 3. Tokens are ordered by frequency, rarest first. Of a set of n tokens, every partner shares one of its first
    n - ceil(t n) + 1, and k of its first n - ceil(t n) + k. Tokens that occur in one document only index nothing, so
    most documents end here. Rare tokens index singly, frequent ones (above `frequent`) in combinations of two
-   from the prefix that is longer by one.
+   from the prefix that is longer by one. Sets of more than WIDE tokens would have too many combinations: they index all
+   singly, and so do smaller sets that one of them may link with, besides their combinations.
 4. Documents with equal sets are one candidate. Documents that share an index entry are compared pair by pair; in a
    large entry, first with a few of its members only, and then what is still in different
    components: a pair inside a component adds nothing to the result.
@@ -23,22 +24,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialize, partitions
-from .exchange import ask, read_answers
+from .common import components, materialize
+from .exchange import ask, read_answers, tasks_for
 from .forest import forest
 from .packed import pack_texts, unpack_texts
 from .shingles import blocks, mix, shingle_sets
 
+#: Bytes of text in a block.
+BLOCK = 1_500_000
 #: Bits of a token that frequencies are counted by; tokens that share them count as one, which only adds candidates.
 BITS = 48
 MASK = np.uint64((1 << 64) - (1 << (64 - BITS)))
 #: Entries up to this size are compared pair by pair at once.
 SMALL = 24
+#: Tokens of a set up to which frequent ones index in combinations, at most (WIDE (100 - percent) / 100 + 2)^2 / 2 of them.
+WIDE = 512
 #: Members of a block where the rest of a large entry meets.
 ODD, OTHER = 256, 1024
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4_000_000) -> DataFrame:
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1_500_000) -> DataFrame:
     """Rows `(block, ids, texts, sizes)` of about `size` bytes of text each, written to the shared folder."""
 
     def run(batches):
@@ -113,17 +118,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     whose id is null (component null). Rows with the same id are one document of several texts. Ties don't matter:
     the result depends on the links alone. Other columns are not read.
     """
-    spark = docs.sparkSession
-    ranges = max(8, partitions(spark))
-    parts = text_blocks(docs, id_col, text_col, 1_500_000)
-    known = ask(parts.select("block", "texts", "sizes"), lambda row: block_tokens(row, words)[1:], ranges)
+    parts = text_blocks(docs, id_col, text_col, BLOCK)
+    tasks = tasks_for(parts.count(), BLOCK)
+    known = ask(parts.select("block", "texts", "sizes"), lambda row: block_tokens(row, words)[1:], tasks)
 
     def signatures(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
                 sets, tokens, _ = block_tokens(row, words)
-                counts = read_answers(tokens, row["answers"], ranges)[2]
+                counts = read_answers(tokens, row["answers"], tasks)[2]
                 cols: list[list] = [[], [], [], [], []]
                 for i, s in zip(row["ids"], sets, strict=True):
                     n, keys, own, mark = len(s), None, None, None
@@ -135,14 +139,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
                             short = first[:p]
                             keys = s[short[(df[short] > 1) & (df[short] <= frequent)]].view(np.int64).tolist()
                             often = s[first[df[first] > frequent]]
-                            if n > 1:
+                            if 1 < n <= WIDE:
                                 often = np.sort(often)
                                 i_, j_ = np.triu_indices(len(often), 1)
                                 keys += mix(often[i_] * np.uint64(3) + mix(often[j_])).view(np.int64).tolist()
-                            else:
-                                keys += often.view(np.int64).tolist()
-                            if n > 1 and p == n and len(often):  # a prefix of all tokens can't be extended
-                                keys += often.view(np.int64).tolist()
+                            if p == n or 100 * n >= percent * WIDE:  # a prefix of all tokens can't be extended
+                                keys += s[short[df[short] > frequent]].view(np.int64).tolist()
                             own, mark = s.view(np.int64), xxhash.xxh3_128_hexdigest(s.tobytes())
                     for c, v in zip(cols, (i, n, keys, own, mark), strict=True):
                         c.append(v)
