@@ -6,6 +6,7 @@ import zlib
 from bisect import bisect_left, insort
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,22 +15,28 @@ from .pretokens import encoded
 
 
 def pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, piece, start, length, ids_crc32)`: each document's ids with `end_id`, cut only if longer than `capacity`."""
+    """`(doc_id, piece, start, length, ids_crc32, row)`: each document's ids with `end_id`, cut only if longer than `capacity`.
+
+    `row` numbers all rows, partition by partition.
+    """
     end = int(end_id).to_bytes(4, "little")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
 
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[] for _ in names]
             texts = (x.as_py() for x in batch.column(1))
             for i, ids in zip(batch.column(0).to_pylist(), encoded(texts, tokenizer), strict=True):
                 ids += end
                 for k in range(0, len(ids) // 4, capacity):
                     part = ids[4 * k : 4 * (k + capacity)]
-                    for c, v in zip(cols, (i, k // capacity, k, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for c, v in zip(cols, (i, k // capacity, k, len(part) // 4, zlib.crc32(part), row), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, cols, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, row long")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -120,15 +127,16 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.j
     The driver sees only the histogram of lengths (at most `capacity` rows) and plans on it; pieces
     find their places by their rank among those of equal length. A length may hold any share of all rows: ranks
     are made within (length, hash bucket) groups of about a thousand rows and shifted by the
-    cumulative sizes of the buckets. The plan, at most a few rows for each length, is broadcast.
+    cumulative sizes of the buckets. Buckets go by the row's own number, which is written with it, so neither null ids
+    nor repeated rows share one. The plan, at most a few rows for each length, is broadcast.
 
     A null or empty text is one piece of the end id alone. Null ids and repeated rows are packed like
-    others; an empty table gives no rows. Other columns of `docs` are not read.
+    others, and very long texts are cut into pieces; an empty table gives no rows. Other columns of `docs` are not read.
     """
     spark = docs.sparkSession
     own = materialize(pieces(docs, capacity, tokenizer, end_id, id_col, text_col), "pieces")
-    buckets = min(100_000, own.count() // 1000 + 1)
-    own = own.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    buckets = own.count() // 1000 + 1
+    own = own.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     sizes = own.groupBy("length", "b").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = plan(histogram, capacity)
@@ -137,7 +145,7 @@ def pack(docs: DataFrame, capacity: int = 4096, tokenizer: str = "word_bpe_49k.j
         by_length.setdefault(n, []).append(tuple(rest))
     places = spark.createDataFrame(list(by_length.items()), "length long, places array<struct<lo:long,hi:long,per:long,bin:long,at:long>>")
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("b")) - F.col("n")).select("length", "b", "before")
-    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("doc_id", "piece")) - 1)
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("length", "b").orderBy("row")) - 1)
     ranked = ranked.join(before, ["length", "b"]).withColumn("r", F.col("r") + F.col("before")).join(F.broadcast(places), "length")
     p = F.element_at(F.filter("places", lambda x: (x.lo <= F.col("r")) & (x.hi > F.col("r"))), 1)
     out = ranked.withColumn("p", p).withColumn("k", F.col("r") - F.col("p.lo"))
