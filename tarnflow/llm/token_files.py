@@ -32,6 +32,8 @@ from .pretokens import encoded
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Ids in a data frame.
 FRAME = 1 << 18
+#: Bytes of text whose ids a file holds, about; its index is in memory while it is written.
+FILE_BYTES = 64_000_000
 
 
 def _low32(data: bytes) -> int:
@@ -134,13 +136,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
     """Writes the ids of all documents to files below `path`, ascending by id across and within them.
 
     Returns the manifest, one row a file: `(part, path, n_docs, n_tokens, base)` with `base` the number of ids in
-    the files before. Documents are dealt by ranges of ids, so a file is one task's work; a task writes under a name
+    the files before. There are so many files that each takes about FILE_BYTES of text, if `files` doesn't say. Documents are dealt by ranges of
+    ids and, where those are equal, of a hash of the text and of the row's number, so a file is one task's work and no id a hot one; a task writes under a name
     of its own and renames at the end, so a task that is run again replaces its file by an equal one. The manifest
     (a row a file) is all that reaches the driver. `path` must be a folder that executors share, in any
     file system that pyarrow opens by URI.
 
-    A null or empty text is the end id alone. Null ids stand first. Repeated rows are written repeatedly.
-    An empty table gives no rows. Other columns are not read.
+    A null or empty text is the end id alone, a very long one goes over many frames. Null ids stand first. Repeated rows are written repeatedly, in
+    any order among themselves. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     end = int(end_id).to_bytes(4, "little")
@@ -163,7 +166,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k
             fs.move(own, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "n_docs": [len(writer.ids)], "n_tokens": [writer.tokens]})
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    if files is None:
+        files = max(partitions(spark), -(-(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES))
+    own = own.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()})
+    dealt = own.repartitionByRange(files, "doc_id", "h", "n").sortWithinPartitions("doc_id", "h", "n").select("doc_id", "text")
     rows = sorted(dealt.mapInArrow(run, "part long, path string, n_docs long, n_tokens long").collect())
     manifest, base = [], 0
     for r in rows:
