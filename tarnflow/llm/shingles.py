@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import kept
+
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
 _C = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[str, np.ndarray] = {}
+#: Powers that a process keeps; longer runs of them are made for one call.
+_KEEP = 1 << 21
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """B^0 .. B^(n-1) modulo 2^64, or those of the inverse of B."""
-    name = "inv" if inverse else "fwd"
-    have = _powers.get(name)
+    tables = kept("powers", dict)
+    have = tables.get(inverse)
     if have is None or len(have) < n:
-        base = _BINV if inverse else _B
-        have = np.ones(max(n, 1 << 16), dtype=np.uint64)
-        have[1:] = base
-        _powers[name] = have = np.cumprod(have, dtype=np.uint64)
+        have = np.full(max(n, 1 << 16), _BINV if inverse else _B, dtype=np.uint64)
+        have[0] = 1
+        np.cumprod(have, out=have)
+        if len(have) <= _KEEP:
+            tables[inverse] = have
     return have[:n]
 
 
@@ -81,7 +85,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-def blocks(ids, texts, size: int = 4_000_000):
+def blocks(ids, texts, size: int = 1_000_000):
     """(ids, texts) in blocks of about `size` bytes of text; null texts as empty ones."""
     a, b, held = [], [], 0
     for i, t in zip(ids, texts, strict=True):

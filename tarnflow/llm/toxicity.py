@@ -8,6 +8,7 @@ spellings never seen are scored too. The gate inputs of a word don't depend on i
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filter_rows, kept
 from .shingles import blocks
 
 #: Words of a window and between the starts of two windows.
@@ -24,7 +26,7 @@ HIDDEN, WORD, CHAR, VOCABULARY, TRIGRAMS = 8, 6, 6, 6000, 8192
 #: Labelled texts that training reads at most, half of each label, and the bytes a text may have to be among them.
 TRAIN_ROWS, TRAIN_BYTES = 4000, 12_000
 #: Words a worker process remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _PLAIN = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 
 
@@ -161,11 +163,18 @@ class Toxicity:
 
     def __init__(self, net: Network, vocabulary: dict[bytes, int]):
         self.net, self.vocabulary = net, vocabulary
-        self.rows: dict[bytes, int] = {}
-        self.gates: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[bytes, int] = {b"": 0}
+        self.gates = {way: np.zeros((4096, 3 * HIDDEN), np.float32) for way in ("f", "b")}
 
     def __getstate__(self):
-        return {"net": self.net, "vocabulary": self.vocabulary, "rows": {}, "gates": {}}
+        return {"net": self.net, "vocabulary": self.vocabulary}
+
+    def __setstate__(self, state):
+        self.net, self.vocabulary = state["net"], state["vocabulary"]
+        self._forget()
 
     @staticmethod
     def table(words: list[bytes], vocabulary: dict[bytes, int]):
@@ -209,7 +218,8 @@ class Toxicity:
             for s in window_starts(len(ids)):
                 spans.append(np.pad(ids[s : s + WINDOW], (0, max(0, WINDOW - len(ids)))))
                 owner.append(k)
-        if not spans:
+        if not spans or y.min() == y.max():  # nothing to learn from: every score is 0.5
+            net.p["o"][:] = 0
             return cls(net, vocabulary)
         spans, owner = np.stack(spans), np.array(owner)
         score = np.maximum(odds[spans], 0).max(1) + 0.1 * odds[spans].mean(1)
@@ -244,22 +254,24 @@ class Toxicity:
                     score[k : k + 2048] = net.run({w: v[ids] for w, v in gates.items()}, (ids > 0).astype(np.float32))
         return cls(net, vocabulary)
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.rows) > REMEMBERED or not self.rows:
-            self.rows = {b"": 0}
-            self.gates = {way: np.zeros((1, 3 * HIDDEN), np.float32) for way in ("f", "b")}
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.rows) > REMEMBERED:
+            self._forget()
         new = [w for w in words if w not in self.rows]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
             g = self.net.gates(self.net.inputs(*self.table(part, self.vocabulary)))
-            self.gates = {way: np.concatenate([self.gates[way], g[way]]) for way in g}
-            for w in part:
-                self.rows[w] = len(self.rows)
+            n = len(self.rows)
+            for way, own in g.items():
+                if n + len(part) > len(self.gates[way]):
+                    self.gates[way] = np.concatenate([self.gates[way], np.zeros((max(len(part), n // 2), 3 * HIDDEN), np.float32)])
+                self.gates[way][n : n + len(part)] = own
+            self.rows.update(zip(part, range(n, n + len(part)), strict=True))
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The highest window score of each text; a text without words is one empty window."""
         docs = [words_of(t) for t in texts]
-        self._learn(list(set().union(*docs)) if docs else [])
+        self._learn(set().union(*docs))
         get = self.rows.__getitem__
         ids = np.fromiter((i for d in docs for i in map(get, d)), dtype=np.int32, count=sum(map(len, docs)))
         ids = np.concatenate([ids, np.zeros(WINDOW, np.int32)])
@@ -274,8 +286,8 @@ class Toxicity:
         logits = np.empty(len(starts), np.float32)
         full = starts + WINDOW <= limits
         for group in (np.flatnonzero(full), np.flatnonzero(~full)):  # only windows of short texts need a mask
-            for k in range(0, len(group), 2048):
-                part = group[k : k + 2048]
+            for k in range(0, len(group), 1024):
+                part = group[k : k + 1024]
                 place = starts[part][None, :] + np.arange(WINDOW)[:, None]
                 inside = place < limits[part][None, :]
                 own = np.where(inside, ids[np.minimum(place, len(ids) - 1)], 0)
@@ -306,35 +318,44 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1
 
 
-def _apply(docs: DataFrame, model: Toxicity, text_col: str, schema, out):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, model: Toxicity):
+    """A function of record batches and the place of their text column that yields parts of a megabyte of text with their scores."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), f"toxicity-{uuid.uuid4().hex}"
 
-    def run(batches):
-        own = shared.value
+    def run(batches, place):
+        own = kept(name, lambda: shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-            score = [own.scores(part) for _, part in blocks(range(batch.num_rows), texts)]
-            yield out(batch, np.concatenate(score) if score else np.zeros(0))
+            for at, part in blocks(range(batch.num_rows), batch.column(place).cast(pa.binary())):
+                yield batch.slice(at[0], len(at)), own.scores(part)
 
-    return docs.mapInArrow(run, schema)
+    return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, model: Toxicity | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, held_out, score, predicted)` for every row of `docs`.
 
     Labels, language, source and id are no inputs of a score. Null texts count as empty, and texts without words have the
-    score of an empty window. Null ids are scored, held_out false. Rows with equal texts have equal scores. Without a
-    labelled row the untrained model scores. Other columns are not read.
+    score of an empty window. Null ids are scored, held_out false. Rows with equal texts have equal scores. Without
+    labelled texts of both kinds every score is 0.5. An empty table gives no rows. Other columns are not read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col).cast("long")), F.lit(False)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     model = model or train(docs, labels, id_col=id_col, text_col=text_col)
 
-    def out(batch, score):
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+    score = _scored(docs, model)
 
-    return _apply(own, model, "text", "doc_id long, held_out boolean, score double, predicted int", out)
+    def run(batches):
+        for batch, own in score(batches, 2):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.float64()), pa.array((own >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+
+    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Toxicity, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns as they are, that score below `threshold`."""
-    return _apply(docs, model, text_col, docs.schema, lambda batch, score: batch.filter(pa.array(score < threshold)))
+    """The rows of `docs`, all columns as they are whatever their names, that score below `threshold`; nulls score as empty texts."""
+    score = _scored(docs, model)
+
+    def keep(batches, place):
+        for batch, own in score(batches, place):
+            yield batch.filter(pa.array(own < threshold))
+
+    return filter_rows(docs, text_col, keep)
