@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import materialize
 from tarnflow.llm.decontaminate import without_leaks
 from tarnflow.llm.jaccard_join import jaccard_components
 from tarnflow.llm.packing import pack
-from tarnflow.llm.pii import pseudonymise
+from tarnflow.llm.pii import pseudonymise, session_key
 from tarnflow.llm.toxicity import train, without_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that score 0.7 or more go; the model learns from the labels of those texts that are not held out."""
+    """Texts that score 0.7 or more go; the model learns from the labels of those texts that are not held out.
+
+    Null and empty texts score as an empty window and stay; so do rows without an id that are not toxic. Rows with equal texts share their
+    fate. A text of any length is scored window by window. An empty table gives no rows. All columns pass, whatever their names.
+    """
     return without_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -22,37 +26,65 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of texts linked by a Jaccard similarity of 0.8 on five-word shingles the one of least id stays.
 
     Rows of one id with different values are rows of their own, and lose against other ids; of equal rows a single one stays.
-    Rows without an id are compared among themselves.
+    Rows without an id are compared among themselves. Null and empty texts link with nothing; very long ones are compared as a whole.
+    An empty table gives no rows. All columns pass, whatever their names and types.
     """
-    own = docs.withColumn("__h", F.xxhash64(*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]))
+    key, digest, shared_key = (_free(docs, x) for x in ("key", "digest", "shared"))
+    own = docs.withColumn(digest, F.xxhash64(*[c for f in docs.schema for c in _hashable(f)]))
     # ids as keys where they tell rows apart; other rows get hashes above all usual ids
-    shared = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("__h").alias("a"), F.max("__h").alias("b")).where("a <> b").select("doc_id", F.lit(True).alias("__shared"))
-    hashed = F.col("__h").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    named = own.where("doc_id is not null").join(shared, "doc_id", "left").withColumn("__key", F.when(F.col("__shared"), hashed).otherwise(F.col("doc_id").cast("long")))
-    out = _least(named, docs.columns)
-    nameless = own.where("doc_id is null").withColumn("__key", hashed)
-    return out if nameless.isEmpty() else out.unionByName(_least(nameless, docs.columns))
+    shared = own.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias(shared_key))
+    hashed = F.col(digest).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    named = own.where("doc_id is not null").join(shared, "doc_id", "left").withColumn(key, F.when(F.col(shared_key), hashed).otherwise(F.col("doc_id").cast("long")))
+    out = _least(named, key, docs.columns)
+    nameless = own.where("doc_id is null").withColumn(key, hashed)
+    return out if nameless.isEmpty() else out.unionByName(_least(nameless, key, docs.columns))
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _hashable(field) -> list:
+    """What tells values of a column apart, nulls included."""
+    c = F.col(f"`{field.name}`")
+    return [F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString() else c, c.isNull()]
 
 
-def _least(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Of rows linked by their texts those of least `__key`, once each."""
-    kept = jaccard_components(rows, words=5, percent=80, id_col="__key").where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
-    one = Window.partitionBy("__key").orderBy(*[F.col(c) for c in columns])
-    return rows.join(kept, "__key", "left_semi").withColumn("__n", F.row_number().over(one)).where("__n = 1").select(columns)
+def _least(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Of rows linked by their texts those of least `key`, once each: rows of one key are equal."""
+    kept = jaccard_components(rows, words=5, percent=80, id_col=key).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that hold a benchmark item go."""
+    """Texts that hold a benchmark item go.
+
+    Each row is judged for itself, so null ids and repeated rows need no care. Null and empty texts stay; very long ones are
+    searched as a whole. An empty table gives no rows. All columns pass, whatever their names.
+    """
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values become pseudonyms; n_chars follows the text."""
-    return pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Personal values become pseudonyms; n_chars follows the text.
+
+    Each row is treated for itself. A null text stays null with n_chars null, an empty one stays empty, a very long one is
+    searched as a whole. An empty table gives no rows. Other columns pass, one called n_pii included.
+    """
+    aside = _free(docs, "aside")
+    out = pseudonymise(docs.withColumnRenamed("n_pii", aside), session_key(spark))
+    given = {"n_chars": F.length("text").cast("long"), "n_pii": F.col(aside) if "n_pii" in docs.columns else None}
+    return out.select(*[given[c].alias(c) if c in given else F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences of 4096 tokens."""
+    """What is left is packed into sequences of 4096 tokens.
+
+    A null or empty text is one piece of the end id; longer ones than a sequence are cut. Null ids and repeated rows are
+    packed like others. An empty table gives no rows. Columns other than id and text are not read.
+    """
     return pack(docs)
 
 
