@@ -29,15 +29,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows without an id are compared among themselves. Null and empty texts link with nothing; very long ones are compared as a whole.
     An empty table gives no rows. All columns pass, whatever their names and types.
     """
-    key, digest, shared_key = (_free(docs, x) for x in ("key", "digest", "shared"))
+    key, digest, shared = (_free(docs, x) for x in ("key", "digest", "shared"))
     own = docs.withColumn(digest, F.xxhash64(*[c for f in docs.schema for c in _hashable(f)]))
+    named, nameless = own.where("doc_id is not null"), own.where("doc_id is null")
+    # ids of several rows; most tables have none, and then texts need not move for them
+    many = materialize(named.groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b"), F.count("*").alias("n")).where("n > 1").select("doc_id", (F.col("a") != F.col("b")).alias(shared)), "ids")
     # ids as keys where they tell rows apart; other rows get hashes above all usual ids
-    shared = own.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id", F.lit(True).alias(shared_key))
     hashed = F.col(digest).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    named = own.where("doc_id is not null").join(shared, "doc_id", "left").withColumn(key, F.when(F.col(shared_key), hashed).otherwise(F.col("doc_id").cast("long")))
-    out = _least(named, key, docs.columns)
-    nameless = own.where("doc_id is null").withColumn(key, hashed)
-    return out if nameless.isEmpty() else out.unionByName(_least(nameless, key, docs.columns))
+    once = many.isEmpty()
+    of_id = F.col("doc_id").cast("long")
+    named = named.withColumn(key, of_id) if once else named.join(many, "doc_id", "left").withColumn(key, F.when(F.col(shared), hashed).otherwise(of_id))
+    out = _least(named, key, docs.columns, once)
+    return out if nameless.isEmpty() else out.unionByName(_least(nameless.withColumn(key, hashed), key, docs.columns, False))
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -52,10 +55,11 @@ def _hashable(field) -> list:
     return [F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() or "variant" in field.dataType.simpleString() else c, c.isNull()]
 
 
-def _least(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Of rows linked by their texts those of least `key`, once each: rows of one key are equal."""
+def _least(rows: DataFrame, key: str, columns: list[str], once: bool) -> DataFrame:
+    """Of rows linked by their texts those of least `key`, once each: rows of one key are equal, and `once` says that there are none."""
     kept = jaccard_components(rows, words=5, percent=80, id_col=key).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return rows.join(kept, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in columns])
+    left = rows.join(kept, key, "left_semi")
+    return (left if once else left.dropDuplicates([key])).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
