@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize
-from .exchange import ask, read_answers, tasks_for
+from .exchange import ask, dealt, read_answers, tasks_for
 from .forest import forest
 from .packed import pack_texts, unpack_texts
 from .shingles import blocks, mix, shingle_sets
@@ -119,8 +119,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
     the result depends on the links alone. Other columns are not read.
     """
     parts = text_blocks(docs, id_col, text_col, BLOCK)
-    tasks = tasks_for(parts.count(), BLOCK)
-    known = ask(parts.select("block", "texts", "sizes"), lambda row: block_tokens(row, words)[1:], tasks)
+    count = parts.count()
+    tasks = tasks_for(count, BLOCK)
+    known = ask(parts.select("block", "texts", "sizes"), lambda row: block_tokens(row, words)[1:], count, BLOCK)
 
     def signatures(batches):
         for batch in batches:
@@ -151,7 +152,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, frequ
                 types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n", "keys", "tokens", "mark"])
 
-    signed = materialize(parts.join(known, "block", "left").mapInArrow(signatures, "doc_id long, n long, keys array<long>, tokens array<long>, mark string"), "signatures")
+    signed = materialize(dealt(parts, count).join(known, "block", "left").mapInArrow(signatures, "doc_id long, n long, keys array<long>, tokens array<long>, mark string"), "signatures")
     near = signed.where("mark is not null")
     # one row for each distinct set, the candidates from here on
     reps = materialize(near.groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("tokens").alias("tokens")), "sets")

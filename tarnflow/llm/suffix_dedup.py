@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .exchange import ask, read_answers, tasks_for
+from .exchange import ask, dealt, read_answers, tasks_for
 from .jaccard_join import text_blocks
 from .packed import unpack_texts
 from .shingles import mix, powers, prefix_sums
@@ -135,16 +135,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     """
     if length % 2 or length < 32:
         raise ValueError("length must be even and at least 32")
-    parts = text_blocks(docs, id_col, text_col, BLOCK).select("block", "ids", "texts", "sizes")
-    tasks = tasks_for(parts.count(), BLOCK)
-    once = materialize(ask(parts.select("block", "texts", "sizes"), lambda row: (_Block(row, length).values, None), tasks), "buckets")
+    written = text_blocks(docs, id_col, text_col, BLOCK).select("block", "ids", "texts", "sizes")
+    blocks = written.count()
+    tasks, parts = tasks_for(blocks, BLOCK), dealt(written, blocks)
+    once = materialize(ask(written.select("block", "texts", "sizes"), lambda row: (_Block(row, length).values, None), blocks, BLOCK), "buckets")
 
     def second(row: dict) -> tuple[np.ndarray, None]:
         b = _Block(row, length)
         b.settle(row["answers"], tasks)
         return b.whole, None
 
-    twice = ask(parts.select("block", "texts", "sizes").join(once, "block", "left"), second, tasks).withColumnRenamed("answers", "then")
+    twice = ask(parts.select("block", "texts", "sizes").join(dealt(once, blocks), "block", "left"), second, blocks, BLOCK).withColumnRenamed("answers", "then")
 
     def cut(batches):
         for batch in batches:
@@ -173,5 +174,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = parts.join(once, "block", "left").join(twice, "block", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = parts.join(dealt(once, blocks), "block", "left").join(twice, "block", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if keep_text else out.drop("kept")

@@ -7,12 +7,14 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import tarnflow.llm.decontaminate as decontaminate
 import tarnflow.llm.jaccard_join as jaccard
 from tarnflow.llm.common import components, tokenizer_path
 from tarnflow.llm.decontaminate import Items, banded_distance, leaks, normalise, without_leaks
+from tarnflow.llm.exchange import even_keys
 from tarnflow.llm.packing import pack, plan
 from tarnflow.llm.pretokens import encoded
 from tarnflow.llm.suffix_dedup import remove_repeats
@@ -256,6 +258,13 @@ def distance_by_hand(item, text):
     return min(before)
 
 
+@pytest.mark.parametrize("n", [2, 3, 7, 50])
+def test_keys_are_dealt_one_to_a_partition(spark, n):
+    keys = spark.createDataFrame([(int(k),) for k in even_keys(n)], "r int").repartition(n, "r")
+    got = keys.select("r", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r.p for r in got) == list(range(n)) and [r.r for r in sorted(got, key=lambda r: r.p)] == even_keys(n).tolist()
+
+
 def test_more_pairs_than_32_bits_count():
     rng = random.Random(2)
     items = ["".join(rng.choice("abcdefgh ") for _ in range(20)).strip() + " zz tail of all" for _ in range(60_000)]
