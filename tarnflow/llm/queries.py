@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import leaks
 from .jaccard_join import jaccard_components
@@ -29,7 +30,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    out = remove_repeats(_table(spark, sf_dir, "documents"), keep_text=True)
+    # what stays, as text; a cut may part the bytes of a character, which then becomes U+FFFD
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
