@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
-from concurrent.futures import ThreadPoolExecutor
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .changes import WEIGHT
 
+#: The folder column of a part's buckets.
+BUCKET = "__b"
+
 
 class _Files:
     """Hadoop file system calls on a folder, so that any store Spark can write works."""
@@ -31,11 +35,20 @@ class _Files:
             stream.close()
 
     def replace(self, name: str, text: str) -> None:
-        """Writes beside and renames; a rename over a file isn't atomic in every store, so versions are numbered files."""
-        p = self._path(f"{self.root}/{name}")
-        out = self._fs.create(p, True)
+        """Writes beside and renames, so that a reader finds a whole file or none."""
+        p, beside = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/.{name}-{uuid.uuid4().hex}")
+        out = self._fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
+        if self._fs.exists(p):
+            self._fs.delete(p, False)
+        if not self._fs.rename(beside, p):
+            raise OSError(f"{beside} can't be renamed")
+
+    def size(self, path: str) -> int:
+        """Bytes below a path, 0 if it is not there."""
+        p = self._path(path)
+        return self._fs.getContentSummary(p).getLength() if self._fs.exists(p) else 0
 
     def names(self) -> list[str]:
         p = self._path(self.root)
@@ -46,94 +59,152 @@ class _Files:
 
 
 class Versions:
-    """Numbered versions of some DataFrames; the newest complete manifest counts. Committing a tick again is harmless."""
+    """Numbered versions of some parts, each a list of runs; the newest manifest that is whole counts.
+
+    A run is a Parquet folder `part/run=<tick>-<n>`, in folders by bucket of its keys if the part has several buckets.
+    Runs are written as a tick goes along and count when the tick's manifest is there, so a tick that is run again
+    after a failure overwrites what it had left. One writer is assumed.
+    """
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
         self.spark, self.files, self.keep = spark, _Files(spark, root), keep
+        self._last: dict | None = None
 
-    def manifest(self) -> dict | None:
-        done = sorted(n for n in self.files.names() if n.startswith("manifest-"))
-        return json.loads(self.files.read(done[-1])) if done else None
+    def _load(self, name: str) -> dict | None:
+        try:
+            m = json.loads(self.files.read(name) or "")
+        except ValueError:
+            return None
+        return m if m.get("whole") else None
+
+    def manifest(self, fresh: bool = True) -> dict | None:
+        """The newest whole manifest; `fresh` looks at the folder again."""
+        if fresh or self._last is None:
+            done = sorted((n for n in self.files.names() if n.startswith("manifest-")), reverse=True)
+            self._last = next((m for m in map(self._load, done) if m), None)
+        return self._last
 
     @property
     def tick(self) -> int:
         m = self.manifest()
         return -1 if m is None else m["tick"]
 
-    def read(self, name: str) -> DataFrame | None:
-        """All runs of a part, as one scan."""
-        m = self.manifest()
-        if m is None or name not in m["parts"]:
+    def part(self, name: str) -> dict:
+        """What the manifest in hand says of a part: its runs with their sizes, its schema, keys and number of buckets."""
+        return ((self._last or {}).get("parts") or {}).get(name) or {"runs": [], "schema": None, "keys": [], "buckets": 1}
+
+    def open(self, name: str, part: dict, buckets: list[int] | None = None) -> DataFrame | None:
+        """The runs of a part as one scan, of some buckets only if told."""
+        if not part["runs"]:
             return None
-        schema = self.spark.createDataFrame([], m["schemas"][name]).schema
-        return self.spark.read.schema(schema).parquet(*m["parts"][name])
+        schema = StructType.fromJson(part["schema"])
+        names = list(schema.names)
+        if part["buckets"] > 1:
+            schema = schema.add(BUCKET, "integer")
+        out = self.spark.read.schema(schema.add("run", "string")).option("basePath", f"{self.files.root}/{name}").parquet(*[r["path"] for r in part["runs"]])
+        if part["buckets"] > 1 and buckets is not None:
+            out = out.where(F.col(BUCKET).isin(buckets))
+        return out.select(*[F.col(f"`{c}`") for c in names])
 
-    def runs(self, name: str) -> int:
+    def read(self, name: str) -> DataFrame | None:
+        """All of a part as the newest manifest has it; `delta` is what its tick changed."""
         m = self.manifest()
-        return 0 if m is None else len(m["parts"].get(name, []))
-
-    def commit(self, tick: int, parts: dict[str, DataFrame], added: tuple[str, ...] = (), same: dict[str, str] | None = None) -> None:
-        """Writes every part into the tick's folder, then the manifest.
-
-        Parts named in `added` become one more run beside those they have; others replace what was there. `same` names
-        parts whose next run is what another part of this tick has written.
-        """
-        old = self.manifest() or {"parts": {}, "schemas": {}}
-
-        def write(name: str) -> str:
-            path = f"{self.files.root}/v{tick:09d}/{name}"
-            parts[name].write.mode("overwrite").option("compression", "zstd").parquet(path)
-            return path
-
-        with ThreadPoolExecutor(4) as pool:  # the parts don't depend on each other, so their jobs may overlap
-            paths = dict(zip(parts, pool.map(write, parts), strict=True))
-        m = {
-            "tick": tick,
-            "parts": {n: [*(old["parts"].get(n, []) if n in added else []), paths[n]] for n in parts},
-            "schemas": {n: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) for n, df in parts.items()},
-        }
-        for name, of in (same or {}).items():
-            m["parts"][name] = [*old["parts"].get(name, []), paths[of]]
-            m["schemas"][name] = m["schemas"][of]
+        return None if m is None or name not in m["parts"] else self.open(m["parts"][name].get("of", name), m["parts"][name])
+
+    def write(self, name: str, run: str, df: DataFrame, keys: list[str], buckets: int) -> dict:
+        """Writes a run and returns the part that it makes alone."""
+        path = f"{self.files.root}/{name}/run={run}"
+        schema = df.schema
+        if buckets > 1:
+            df = df.withColumn(BUCKET, bucket_of(keys, buckets)).repartition(BUCKET)
+        out = df.write.mode("overwrite").option("compression", "zstd")
+        (out.partitionBy(BUCKET) if buckets > 1 else out).parquet(path)
+        return {"runs": [{"path": path, "bytes": self.files.size(path)}], "schema": json.loads(schema.json()), "keys": keys, "buckets": buckets}
+
+    def commit(self, tick: int, parts: dict[str, dict]) -> None:
+        """The manifest of a tick; from now on it counts."""
+        m = {"tick": tick, "parts": parts, "whole": True}
         self.files.replace(f"manifest-{tick:09d}", json.dumps(m))
-        self._collect(m)
-
-    def _collect(self, m: dict) -> None:
+        self._last = m
         done = sorted(n for n in self.files.names() if n.startswith("manifest-"))
-        kept = [json.loads(self.files.read(n)) for n in done[-self.keep :]]
-        used = {p.split("/")[-2] for k in [*kept, m] for runs in k["parts"].values() for p in runs}
+        held = [k for n in done[-self.keep :] if (k := self._load(n))]
+        used = {r["path"] for k in [*held, m] for p in k["parts"].values() for r in p["runs"]}
         for n in done[: -self.keep]:
+            old = self._load(n)
+            for path in {r["path"] for p in (old or {"parts": {}})["parts"].values() for r in p["runs"]} - used:
+                self.files.delete(path.removeprefix(f"{self.files.root}/"))
             self.files.delete(n)
-        for n in self.files.names():
-            if n.startswith("v") and n not in used and n < f"v{m['tick']:09d}":
-                self.files.delete(n)
 
 
-class BagSink:
-    """A result table with physical duplicates and no weights; a tick deletes exact occurrences and inserts new ones."""
+def bucket_of(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.versions = Versions(spark, root)
 
-    def apply(self, tick: int, delta: DataFrame) -> None:
-        if tick <= self.versions.tick:
+class _Table:
+    """Rows in buckets of their keys; a tick rewrites the buckets that it touches, and the manifest tells which run holds a bucket."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.versions, self.buckets = Versions(spark, root), buckets
+
+    def _apply(self, tick: int, delta: DataFrame, keys: list[str], rebuild) -> None:
+        v = self.versions
+        if tick <= v.tick:
             return
+        touched = [r[0] for r in delta.select(bucket_of(keys, self.buckets)).distinct().collect()]  # `buckets` at most
+        old = v.part("rows")
+        at = old.get("at", {})
+        held = sorted({at[str(b)] for b in touched if str(b) in at})
+        before = v.open("rows", old | {"runs": [{"path": p} for p in held]}) if held else None
+        if before is not None:
+            # a run also holds buckets that later ones have replaced
+            now = F.create_map(*[F.lit(x) for b in touched if str(b) in at for x in (b, at[str(b)].rpartition("run=")[2])])
+            part = v.spark.read.schema(StructType.fromJson(old["schema"]).add(BUCKET, "integer").add("run", "string")).option("basePath", f"{v.files.root}/rows").parquet(*held)
+            before = part.where(F.col(BUCKET).isin(touched) & (F.col("run") == now[F.col(BUCKET)])).drop(BUCKET, "run")
+        new = v.write("rows", f"{tick:09d}-0", rebuild(before, delta), keys, self.buckets)
+        path = new["runs"][0]["path"]
+        at = {**at, **{str(b): path for b in touched}}
+        v.commit(tick, {"rows": new | {"runs": [{"path": p} for p in sorted(set(at.values()))], "at": at}})
+
+    def read(self) -> DataFrame | None:
+        v = self.versions
+        m = v.manifest()
+        if m is None:
+            return None
+        part = m["parts"]["rows"]
+        schema = StructType.fromJson(part["schema"])
+        if not part["runs"]:
+            return v.spark.createDataFrame([], schema)
+        now = F.create_map(*[F.lit(x) for b, p in part["at"].items() for x in (int(b), p.rpartition("run=")[2])])
+        rows = v.spark.read.schema(schema.add(BUCKET, "integer").add("run", "string")).option("basePath", f"{v.files.root}/rows").parquet(*[r["path"] for r in part["runs"]])
+        return rows.where(F.col("run") == now[F.col(BUCKET)]).drop(BUCKET, "run")
+
+
+class BagSink(_Table):
+    """A result table with physical duplicates and no weights; a tick deletes exact occurrences and inserts new ones."""
+
+    def apply(self, tick: int, delta: DataFrame) -> None:
         cols = [c for c in delta.columns if c != WEIGHT]
-        old = self.versions.read("rows")
-        rows = delta if old is None else old.withColumn(WEIGHT, F.lit(1).cast("long")).unionByName(delta)
-        n = rows.groupBy(*cols).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
-        low = F.when(F.col(WEIGHT) < 0, F.raise_error(F.lit("a row to delete is not in the result")).cast("long")).otherwise(F.col(WEIGHT))
-        self.versions.commit(tick, {"rows": n.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), low)).alias("__n")).drop("__n")})
 
-    def read(self) -> DataFrame:
-        return self.versions.read("rows")
+        def rebuild(old: DataFrame | None, delta: DataFrame) -> DataFrame:
+            rows = delta if old is None else old.withColumn(WEIGHT, F.lit(1).cast("long")).unionByName(delta)
+            n = rows.groupBy(*cols).agg(F.sum(WEIGHT).alias(WEIGHT)).where(F.col(WEIGHT) != 0)
+            low = F.when(F.col(WEIGHT) < 0, F.raise_error(F.lit("a row to delete is not in the result")).cast("long")).otherwise(F.col(WEIGHT))
+            return n.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), low)).alias("__n")).drop("__n")
 
+        self._apply(tick, delta, cols, rebuild)
 
-class KeyedSink:
-    """A result with a unique key that is never null: a delta becomes inserts, updates and deletes."""
 
-    def __init__(self, spark: SparkSession, root: str, key: list[str]):
-        self.versions, self.key = Versions(spark, root), key
+class KeyedSink(_Table):
+    """A result with a unique key that is never null: a delta becomes inserts, updates and deletes.
+
+    `proven` takes the keys that the view's plan is known to have (see `plans.properties`); a key that holds none of them is refused.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: list[str], buckets: int = 16, proven: list[frozenset[str]] | None = None):
+        super().__init__(spark, root, buckets)
+        self.key = key
+        if proven is not None and not any(k <= set(key) for k in proven):
+            raise ValueError(f"{key} is not known to be a key")
 
     def classify(self, delta: DataFrame) -> DataFrame:
         """`(key..., op, new)`: the old row out and the new row in of one key are an update."""
@@ -144,15 +215,12 @@ class KeyedSink:
         )
 
     def apply(self, tick: int, delta: DataFrame) -> None:
-        if tick <= self.versions.tick:
-            return
-        ops = self.classify(delta)
-        new = ops.where("new is not null").select(*self.key, "new.*")
-        old = self.versions.read("rows")
-        self.versions.commit(tick, {"rows": new if old is None else old.join(ops.select(*self.key), self.key, "left_anti").unionByName(new)})
+        def rebuild(old: DataFrame | None, delta: DataFrame) -> DataFrame:
+            ops = self.classify(delta)
+            new = ops.where("new is not null").select(*self.key, "new.*")
+            return new if old is None else old.join(ops.select(*self.key), self.key, "left_anti").unionByName(new)
 
-    def read(self) -> DataFrame:
-        return self.versions.read("rows")
+        self._apply(tick, delta, self.key, rebuild)
 
 
 def print_changes(delta: DataFrame, table: str, write=print) -> None:

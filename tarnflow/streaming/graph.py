@@ -3,8 +3,10 @@
 `View.batch` builds the plain DataFrame. `View.step` takes one weighted change for each source and returns the view's
 change: linear operators map it, joins take three terms, additive aggregates merge sums, and everything else
 recomputes the groups that the change touches, before and after. State is a list of Parquet runs, one more each
-tick and merged into one every RUNS ticks, so a tick writes about as much as it changes. A tick's manifest commits
-all of it at once, so a step that is run again after a failure has no second effect.
+tick; runs of like size are merged, so a tick writes about as much as it changes. State that outgrows a bucket is kept in
+buckets of its keys, and a tick reads those that its change touches. Every kept part of a change is written as soon as it is made and read from there
+by what comes after, so nothing is computed twice. A tick's manifest commits all of it at once, so a step that is
+run again after a failure has no second effect.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.changes import WEIGHT
-from ..sources.sinks import Versions
+from ..sources.sinks import Versions, bucket_of
 from . import zset
 
-#: Runs of a node's state before they are merged.
-RUNS = 8
+#: Runs of a node's state before some are merged, and bytes of a bucket.
+RUNS, BUCKET_BYTES, MOST_BUCKETS = 8, 16_000_000, 4096
 _ids = count()
 
 
@@ -177,94 +179,134 @@ class View:
             raise ValueError("a view without a root has no state")
         if tick <= v.tick:
             return v.read("delta")
-        first = v.tick < 0
-        parts: dict[str, DataFrame] = {}
-        added: list[str] = []
+        work = _Tick(self, tick)
         change: dict[int, DataFrame] = {}
-
-        def keep(name: str, d: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
-            """Adds a run to a part, or merges its runs; returns the part as it was before."""
-            old = v.read(name)
-            if old is None:
-                old = d.limit(0)
-            if v.runs(name) + 1 < RUNS:
-                parts[name] = d
-                added.append(name)
-            else:
-                parts[name] = merge(old.unionByName(d))
-            return old
-
-        def arranged(n: Node) -> tuple[DataFrame, DataFrame]:
-            """(state before, change) of a node whose output is kept; the state isn't consolidated."""
-            name, d = f"a{self._position(n)}", change[n.id]
-            if name not in arranged_before:
-                arranged_before[name] = keep(name, zset.consolidate(d), zset.consolidate)
-            return arranged_before[name], d
-
-        arranged_before: dict[str, DataFrame] = {}
         for n in self.nodes:
             ins = [change[i.id] for i in n.inputs]
             if isinstance(n, Source):
                 d = deltas.get(n.name)
-                d = self.spark.createDataFrame([], f"{n.schema}, {WEIGHT} bigint") if d is None else d
-                change[n.id] = zset.consolidate(d)
+                change[n.id] = self.spark.createDataFrame([], f"{n.schema}, {WEIGHT} bigint") if d is None else d
             elif isinstance(n, Constant):
                 made = zset.of(n.make(self.spark))
-                change[n.id] = zset.consolidate(made) if first else made.limit(0)
+                change[n.id] = made if work.first else made.limit(0)
             elif isinstance(n, Linear):
                 change[n.id] = n.fn(ins[0])
             elif isinstance(n, Union):
                 change[n.id] = zset.add(*ins)
             elif isinstance(n, Join):
-                (l, dl), (r, dr) = arranged(n.left), arranged(n.right)
-                change[n.id] = zset.join_delta(l, dl, r, dr, n.keys)
+                (l, dl), (r, dr) = (work.arranged(c, change, n.keys) for c in n.inputs)
+                change[n.id] = zset.join_delta(work.before(l, dr, n.keys), dl, work.before(r, dl, n.keys), dr, n.keys)
             elif isinstance(n, Aggregate):
-                change[n.id] = self._aggregate(n, ins[0], keep)
+                change[n.id] = self._aggregate(n, ins[0], work)
             else:
-                change[n.id] = self._keyed(n, [arranged(c) for c in n.children])
-        parts["delta"] = zset.consolidate(change[self.out.id])
-        same = {}
-        if v.runs("view") + 1 < RUNS:
-            same["view"] = "delta"  # the change is the view's next run; it is written once
-        else:
-            parts["view"] = zset.consolidate(v.read("view").unionByName(parts["delta"]))
-        v.commit(tick, parts, tuple(added), same)
-        return v.read("delta")
-
-    def _aggregate(self, n: Aggregate, d: DataFrame, keep: Callable) -> DataFrame:
+                change[n.id] = self._keyed(n, [work.arranged(c, change, n.keys) for c in n.children], work)
+        # an aggregate's change has no rows that cancel but for equal outputs of one group, which reading takes out
+        tidy = (lambda x: x) if isinstance(self.out, Aggregate) else zset.consolidate
+        delta = work.keep("view", change[self.out.id], [], tidy, zset.consolidate)
+        v.commit(tick, work.parts | {"delta": work.own["view"] | {"of": "view"}})
+        return delta
+
+    def _aggregate(self, n: Aggregate, d: DataFrame, work: "_Tick") -> DataFrame:
         sums = [F.sum(_col(c) * F.col(WEIGHT)).alias(s) for s, c in n.sums.items()]
         filled = [F.sum(F.when(_col(c).isNotNull(), F.col(WEIGHT)).otherwise(0)).alias(f"__c_{s}") for s, c in n.sums.items()]
         fresh = d.groupBy(*n.keys).agg(F.sum(WEIGHT).alias("n"), *sums, *filled)
         types = dict(fresh.dtypes)
 
-        def merge(state: DataFrame) -> DataFrame:
-            return state.groupBy(*n.keys).agg(*[F.sum(c).cast(types[c]).alias(c) for c in fresh.columns if c not in n.keys]).where("n <> 0")
-
-        old = zset.restrict(keep(f"s{self._position(n)}", fresh, merge), fresh.select(*n.keys))
-
-        def shown(state: DataFrame, weight: int) -> DataFrame:
-            # a sum over nulls alone is null
-            own = state.withColumns({s: F.when(F.col(f"__c_{s}") > 0, F.col(s)) for s in n.sums})
-            return zset.of(own.select(*n.keys, *[_col(c).alias(o) for o, c in n.finish.items()]), weight)
+        def add(state: DataFrame) -> DataFrame:
+            return state.groupBy(*n.keys).agg(*[F.sum(c).cast(types[c]).alias(c) for c in fresh.columns if c not in n.keys])
 
-        return zset.consolidate(zset.add(shown(merge(old), -1), shown(merge(old.unionByName(fresh)), 1)))
-
-    def _keyed(self, n: Keyed, ins: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+        name = f"s{self._position(n)}"
+        fresh = work.keep(name, fresh, n.keys, lambda x: x, add)
+        old = work.before(name, fresh, n.keys)
+        values = [c for c in fresh.columns if c not in n.keys]
+        if old is None:
+            both = fresh.select(*n.keys, F.struct(*[F.lit(0 if c == "n" else None).cast(types[c]).alias(c) for c in values]).alias("old"), F.struct(*values).alias("new"))
+        else:
+            # sums before and after the change, in one pass
+            old = zset.restrict(old, fresh.select(*n.keys)).withColumn("__o", F.lit(True)).unionByName(fresh.withColumn("__o", F.lit(False)))
+            had = lambda c: F.sum(F.when(F.col("__o"), F.col(c))).cast(types[c]).alias(c)
+            both = old.groupBy(*n.keys).agg(F.struct(*[had(c) for c in values]).alias("old"), F.struct(*[F.sum(c).cast(types[c]).alias(c) for c in values]).alias("new"))
+
+        def shown(side: str) -> Column:
+            """A group's output row; null if the group has no rows."""
+            own = {c: F.col(f"{side}.{c}") for c in values}
+            own |= {s: F.when(own[f"__c_{s}"] > 0, own[s]) for s in n.sums}
+            return F.when(own["n"] != 0, F.struct(*[own[c].alias(c) for c in values]))
+
+        sides = both.select(*n.keys, F.explode(F.array(F.struct(shown("old").alias("row"), F.lit(-1).cast("long").alias(WEIGHT)), F.struct(shown("new").alias("row"), F.lit(1).cast("long").alias(WEIGHT)))).alias("__x"), (shown("old").eqNullSafe(shown("new"))).alias("__same"))
+        rows = sides.where("NOT __same AND __x.row IS NOT NULL").select(*n.keys, "__x.row.*", f"__x.{WEIGHT}")
+        return rows.select(*n.keys, *[_col(c).alias(o) for o, c in n.finish.items()], WEIGHT)
+
+    def _keyed(self, n: Keyed, ins: list[tuple[str, DataFrame]], work: "_Tick") -> DataFrame:
+        """`ins` are the state's name and the change of each child."""
+        near = []
         if n.keys:
             touched = None
             for _, d in ins:
                 k = d.select(*n.keys)
                 touched = k if touched is None else touched.union(k)
             touched = touched.distinct()
-            near = [zset.restrict(s, touched) for s, _ in ins]
-        else:
-            near = [s for s, _ in ins]
-        before = n.fn(*[zset.bag(zset.consolidate(s)) for s in near])
+        for name, d in ins:
+            s = work.before(name, touched, n.keys) if n.keys else work.before(name, None, [])
+            s = d.limit(0) if s is None else s
+            near.append(zset.restrict(s, touched) if n.keys else s)
         after = n.fn(*[zset.bag(zset.consolidate(zset.add(s, d))) for s, (_, d) in zip(near, ins, strict=True)])
-        if self.versions.tick < 0:  # the view was nothing yet, not the result over empty inputs
-            return zset.consolidate(zset.of(after))
-        return zset.consolidate(zset.add(zset.of(before, -1), zset.of(after, 1)))
+        if work.first:  # the view was nothing yet, not the result over empty inputs
+            return zset.of(after)
+        before = n.fn(*[zset.bag(zset.consolidate(s)) for s in near])
+        return zset.add(zset.of(before, -1), zset.of(after, 1))
 
     def read(self) -> DataFrame:
         """The view's rows after the last committed tick."""
         return zset.bag(zset.consolidate(self.versions.read("view")))
+
+
+class _Tick:
+    """The state that one tick of a view reads and writes."""
+
+    def __init__(self, view: View, tick: int):
+        self.view, self.v, self.tick = view, view.versions, tick
+        self.first = self.v.tick < 0
+        self.old = dict((self.v.manifest(False) or {"parts": {}})["parts"])
+        self.parts: dict[str, dict] = {}
+        self.own: dict[str, dict] = {}
+
+    def keep(self, name: str, d: DataFrame, keys: list[str], tidy: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Adds a change to a part as its next run and returns it as written.
+
+        Where runs become many, the newest ones are merged, back to one that is larger than all of them together.
+        """
+        old = self.v.part(name)
+        buckets = old["buckets"]
+        own = self.v.write(name, f"{self.tick:09d}-0", tidy(d), keys, buckets)
+        whole = own | {"runs": [*old["runs"], *own["runs"]]}
+        size = sum(r["bytes"] for r in whole["runs"])
+        grown = min(MOST_BUCKETS, 1 << max(0, (size // BUCKET_BYTES).bit_length())) if keys else 1
+        if grown >= 2 * buckets and (grown >= 4 * buckets or buckets == 1):  # all runs, in more buckets
+            whole = self.v.write(name, f"{self.tick:09d}-1", merge(self.v.open(name, whole)), keys, grown)
+        elif len(whole["runs"]) >= RUNS:
+            at, held = len(whole["runs"]) - 1, whole["runs"][-1]["bytes"]
+            while at and (whole["runs"][at - 1]["bytes"] <= held or len(whole["runs"]) - at < 2):
+                at -= 1
+                held += whole["runs"][at]["bytes"]
+            merged = self.v.write(name, f"{self.tick:09d}-1", merge(self.v.open(name, whole | {"runs": whole["runs"][at:]})), keys, buckets)
+            whole = whole | {"runs": [*whole["runs"][:at], *merged["runs"]]}
+        self.parts[name], self.own[name] = whole, own
+        return self.v.open(name, own)
+
+    def arranged(self, n: Node, change: dict[int, DataFrame], keys: list[str]) -> tuple[str, DataFrame]:
+        """The name of a node's state, which gets its change as one more run, and that change; the state isn't consolidated."""
+        name = f"a{self.view._position(n)}"
+        if name not in self.parts:
+            change[n.id] = self.keep(name, change[n.id], keys, zset.consolidate, zset.consolidate)
+        return name, change[n.id]
+
+    def before(self, name: str, near: DataFrame | None, keys: list[str]) -> DataFrame | None:
+        """A part as it was before the tick; if it is in buckets of these keys, only those where `near` has rows."""
+        part = self.old.get(name)
+        if part is None or not part["runs"]:
+            return None
+        touched = None
+        if near is not None and part["buckets"] > 1 and part["keys"] == keys:
+            touched = [r[0] for r in near.select(bucket_of(keys, part["buckets"])).distinct().collect()]  # MOST_BUCKETS at most
+        return self.v.open(name, part, touched)

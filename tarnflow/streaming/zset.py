@@ -46,9 +46,14 @@ def join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn(WEIGHT, F.col(WEIGHT) * F.col("__w2")).drop("__w2")
 
 
-def join_delta(left: DataFrame, dl: DataFrame, right: DataFrame, dr: DataFrame, keys: list[str]) -> DataFrame:
-    """Change of a join: dL x R + L x dR + dL x dR, from the states before the change."""
-    return add(join(dl, right, keys), join(left, dr, keys), join(dl, dr, keys))
+def join_delta(left: DataFrame | None, dl: DataFrame, right: DataFrame | None, dr: DataFrame, keys: list[str]) -> DataFrame:
+    """Change of a join: dL x R + L x dR + dL x dR, from the states before the change (None: empty)."""
+    terms = [join(dl, dr, keys)]
+    if right is not None:
+        terms.append(join(dl, right, keys))
+    if left is not None:
+        terms.append(join(left, dr, keys))
+    return add(*terms)
 
 
 def restrict(z: DataFrame, keys: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.operators import grouping, joins, ordering, setops, subqueries
 from tarnflow.sources import BagSink, KeyedSink, Relation, as_updates, generate_series, print_changes
+from tarnflow.streaming import graph
 from tarnflow.streaming import Aggregate, Constant, Join, Keyed, Linear, Source, Union, View, decode_log, encode_log, zset
 
 A, B = Source("a", "k int, v string"), Source("b", "k int, x int")
@@ -56,8 +57,11 @@ GRAPHS = {
 }
 
 
-@pytest.mark.parametrize("name", GRAPHS)
-def test_history(spark, tmp_path, name):
+@pytest.mark.parametrize(("name", "small"), [*((n, False) for n in GRAPHS), *((n, True) for n in ("join", "aggregate", "left"))])
+def test_history(spark, tmp_path, monkeypatch, name, small):
+    if small:  # state in several buckets, and merges of runs
+        monkeypatch.setattr(graph, "BUCKET_BYTES", 400)
+        monkeypatch.setattr(graph, "RUNS", 2)
     view = View(spark, GRAPHS[name], f"file://{tmp_path}/v")
     own = [n.name for n in view.nodes if isinstance(n, Source)]
     schemas = {"a": A.schema, "b": B.schema}
@@ -75,10 +79,46 @@ def test_history(spark, tmp_path, name):
         view.step(tick, deltas)
         tables = {n: spark.createDataFrame(now[n], schemas[n]) for n in own}
         assert bag(view.read()) == bag(view.batch(tables)), tick
+    if small:
+        assert any(p["buckets"] > 1 for p in view.versions.manifest()["parts"].values())
+        assert all(len(p["runs"]) <= 4 for p in view.versions.manifest()["parts"].values())
     again = weights(view.step(len(HISTORY) - 1, deltas))
     assert again == weights(view.versions.read("delta")) and view.versions.tick == len(HISTORY) - 1
 
 
+def test_a_damaged_manifest_does_not_count(spark, tmp_path):
+    view = View(spark, GRAPHS["aggregate"], f"file://{tmp_path}/v")
+    view.step(0, {"b": z(spark, [(1, 10, 1)], B.schema)})
+    view.step(1, {"b": z(spark, [(1, 5, 1), (2, 7, 1)], B.schema)})
+    whole = (tmp_path / "v" / "manifest-000000001").read_bytes()
+    for part in (b"", whole[: len(whole) // 2]):
+        for name in ("manifest-000000001", ".manifest-000000001.crc"):
+            (tmp_path / "v" / name).unlink(missing_ok=True)
+        (tmp_path / "v" / "manifest-000000001").write_bytes(part)
+        again = View(spark, GRAPHS["aggregate"], f"file://{tmp_path}/v")
+        assert again.versions.tick == 0 and bag(again.read()) == [(1, 1, 10)]
+    again.step(1, {"b": z(spark, [(1, 5, 1), (2, 7, 1)], B.schema)})  # the tick is run again
+    assert bag(again.read()) == [(1, 2, 15), (2, 1, 7)]
+
+
+def test_a_sink_rewrites_touched_buckets_only(spark, tmp_path):
+    sink = BagSink(spark, f"file://{tmp_path}/bag")
+    sink.apply(0, z(spark, [(k, "a", 1) for k in range(200)], "k int, v string"))
+    before = sink.versions.manifest()["parts"]["rows"]["at"]
+    sink.apply(1, z(spark, [(7, "a", -1)], "k int, v string"))
+    after = sink.versions.manifest()["parts"]["rows"]["at"]
+    assert len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
+    assert len(sink.read().collect()) == 199
+    sink.apply(2, z(spark, [(k, "a", -1) for k in range(200) if k != 7], "k int, v string"))
+    assert sink.read().count() == 0
+
+
+def test_a_key_must_be_known(spark, tmp_path):
+    KeyedSink(spark, f"file://{tmp_path}/k", ["k", "v"], proven=[frozenset({"k"})])
+    with pytest.raises(ValueError, match="not known"):
+        KeyedSink(spark, f"file://{tmp_path}/k", ["v"], proven=[frozenset({"k"})])
+
+
 def test_sinks(spark, tmp_path):
     sink = BagSink(spark, f"file://{tmp_path}/bag")
     sink.apply(0, z(spark, [(1, "a", 2), (2, None, 1)], "k int, v string"))
