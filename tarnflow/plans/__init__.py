@@ -1,8 +1,8 @@
 """Queries by name, each as a function of (spark, sf_dir), with the DuckDB SQL that gives the same rows."""
 
-from . import incremental, nexmark, relational, scalars
+from . import incremental, maintained, nexmark, relational, scalars
 
-_MODULES = (scalars, relational, nexmark, incremental)
+_MODULES = (scalars, relational, nexmark, incremental, maintained)
 
 
 def queries() -> dict:

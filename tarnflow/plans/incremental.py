@@ -28,7 +28,8 @@ def _history(spark: SparkSession, d: str, names: list[str]) -> list[dict[str, Da
         "orders": ("o_orderkey", {"o_custkey": F.col("o_custkey") % 7 + 1, "o_totalprice": F.lit(1.0)}),
         "lineitem": ("l_orderkey", {"l_quantity": F.col("l_quantity") + 1, "l_suppkey": F.lit(3).cast("long")}),
         "events": ("event_id", {"value": F.lit(50.0), "user_id": F.lit(5).cast("long")}),
-        "customer": ("c_custkey", {"c_mktsegment": F.lit(None).cast("string")}),
+        "customer": ("c_custkey", {"c_mktsegment": F.lit(None).cast("string"), "c_nationkey": (F.col("c_nationkey") + 1) % 25}),
+        "pages": ("page_id", {"url": F.lit("https://m.example.org/a/b?x=1&page=7")}),
     }
     logs = {n: change_log(load(spark, d, n), *changed[n][:1], changed=changed[n][1]) for n in names}
     return [{n: logs[n][t] for n in names} for t in range(7)]

@@ -15,6 +15,7 @@ from ..operators import joins as J
 from ..operators import ordering as O
 from ..operators import windows as W
 from ..sources import load
+from ..sources.changes import WEIGHT
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,19 +26,24 @@ _PERSON = "SELECT c_custkey AS id, c_name AS name, c_nationkey AS city, n_name A
 _WITH = f"WITH bid AS ({_BID}), auction AS ({_AUCTION}), person AS ({_PERSON}) "
 
 
+def pick(df, *columns):
+    """`df.select(*columns)`, with the weight if `df` is a change."""
+    return df.select(*columns, *[c for c in df.columns if c == WEIGHT])
+
+
 def bid(spark, d):
     l = load(spark, d, "lineitem")
-    return l.select(F.col("l_orderkey").alias("auction"), F.col("l_suppkey").alias("bidder"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.col("l_shipdate").alias("date_time"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("channel"))
+    return pick(l, F.col("l_orderkey").alias("auction"), F.col("l_suppkey").alias("bidder"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"), F.col("l_shipdate").alias("date_time"), F.col("l_linenumber").alias("id"), F.col("l_returnflag").alias("channel"))
 
 
 def auction(spark, d):
     o = load(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("seller"), F.substring("o_orderpriority", 1, 1).cast("long").alias("category"), F.col("o_orderdate").alias("date_time"), D.plus_micros("o_orderdate", 60 * D.DAY).alias("expires"), F.round(F.col("o_totalprice") * 10).cast("long").alias("reserve"))
+    return pick(o, F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("seller"), F.substring("o_orderpriority", 1, 1).cast("long").alias("category"), F.col("o_orderdate").alias("date_time"), D.plus_micros("o_orderdate", 60 * D.DAY).alias("expires"), F.round(F.col("o_totalprice") * 10).cast("long").alias("reserve"))
 
 
 def person(spark, d):
     c = load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("city"), F.col("n_name").alias("state"))
+    return pick(c, F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("city"), F.col("n_name").alias("state"))
 
 
 def query(sql: str):
@@ -51,17 +57,17 @@ def query(sql: str):
 
 @query("SELECT auction, bidder, price, date_time FROM bid")
 def nexmark_q0(spark, d):
-    return bid(spark, d).select("auction", "bidder", "price", "date_time")
+    return pick(bid(spark, d), "auction", "bidder", "price", "date_time")
 
 
 @query("SELECT auction, bidder, price * 908 // 1000 AS price, date_time FROM bid")
 def nexmark_q1(spark, d):
-    return bid(spark, d).select("auction", "bidder", ((F.col("price") * 908 - (F.col("price") * 908) % 1000) / 1000).cast("long").alias("price"), "date_time")
+    return pick(bid(spark, d), "auction", "bidder", ((F.col("price") * 908 - (F.col("price") * 908) % 1000) / 1000).cast("long").alias("price"), "date_time")
 
 
 @query("SELECT auction, price FROM bid WHERE auction % 123 = 0")
 def nexmark_q2(spark, d):
-    return bid(spark, d).where("auction % 123 = 0").select("auction", "price")
+    return pick(bid(spark, d).where("auction % 123 = 0"), "auction", "price")
 
 
 @query("SELECT p.name, p.city, p.state, a.id FROM auction a JOIN person p ON a.seller = p.id WHERE a.category = 3 AND p.state IN (SELECT n_name FROM nation WHERE n_nationkey < 5)")
@@ -87,8 +93,9 @@ def nexmark_q4(spark, d):
 @query("""SELECT start, event_type, n FROM (SELECT *, rank() OVER (PARTITION BY start ORDER BY n DESC) AS r FROM (
   SELECT time_bucket(INTERVAL '2 hours', ts, TIMESTAMP '2000-01-01') - k * INTERVAL '2 hours' AS start, event_type, count(*) AS n FROM events, (SELECT unnest(generate_series(0, 4)) AS k) GROUP BY 1, 2)) WHERE r = 1""")
 def nexmark_q5(spark, d):
-    e = load(spark, d, "events").select("event_type", F.explode(D.hops("ts", 10 * 3_600_000_000, 2 * 3_600_000_000)).alias("start"))
-    n = e.groupBy("start", "event_type").agg(F.count("*").alias("n"))
+    # events are counted by the slide before each count goes into its five windows
+    slide = load(spark, d, "events").groupBy(D.date_bin(2 * 3_600_000_000, "ts").alias("ts"), "event_type").agg(F.count("*").alias("n"))
+    n = slide.select("event_type", "n", F.explode(D.hops("ts", 10 * 3_600_000_000, 2 * 3_600_000_000)).alias("start")).groupBy("start", "event_type").agg(F.sum("n").alias("n"))
     return O.top_per_group(n, ["start"], [O.key("n", True)], 1, ties=True).select("start", "event_type", "n")
 
 
@@ -121,7 +128,7 @@ def nexmark_q9(spark, d):
 
 @query("SELECT event_id, value, strftime(ts, '%Y-%m-%d') AS dt, strftime(ts, '%H:%M') AS hm FROM events")
 def nexmark_q10(spark, d):
-    return load(spark, d, "events").select("event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.date_format("ts", "HH:mm").alias("hm"))
+    return pick(load(spark, d, "events"), "event_id", "value", F.date_format("ts", "yyyy-MM-dd").alias("dt"), F.date_format("ts", "HH:mm").alias("hm"))
 
 
 @query("SELECT user_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) < 14400000000 THEN 0 ELSE 1 END AS s FROM events)) GROUP BY user_id, session")
@@ -146,7 +153,7 @@ def nexmark_q13(spark, d):
 def nexmark_q14(spark, d):
     h = F.hour("ts")
     kind = F.when(h.between(8, 18), "day").when((h <= 6) | (h >= 20), "night").otherwise("other")
-    return load(spark, d, "events").where("value > 20 AND value < 80").select("event_id", F.round(F.col("value") * 0.908, 6).alias("value"), kind.alias("kind"), (F.length("props") - F.length(F.replace("props", F.lit('"'), F.lit("")))).alias("quotes"))
+    return pick(load(spark, d, "events").where("value > 20 AND value < 80"), "event_id", F.round(F.col("value") * 0.908, 6).alias("value"), kind.alias("kind"), (F.length("props") - F.length(F.replace("props", F.lit('"'), F.lit("")))).alias("quotes"))
 
 
 _RANKS = [("r1", "value < 20"), ("r2", "value >= 20 AND value < 60"), ("r3", "value >= 60")]
@@ -194,9 +201,9 @@ def nexmark_q20(spark, d):
 @query("SELECT page_id, CASE lower(split_part(split_part(url, '://', 2), '.', 1)) WHEN 'www' THEN '0' WHEN 'blog' THEN '1' WHEN 'm' THEN '2' ELSE regexp_extract(url, '(&|\\?)page=([^&#]*)', 2) END AS channel FROM pages WHERE url LIKE '%?%'")
 def nexmark_q21(spark, d):
     first = F.lower(F.split_part(F.split_part(F.col("url"), F.lit("://"), F.lit(2)), F.lit("."), F.lit(1)))
-    return load(spark, d, "pages").where("url LIKE '%?%'").select("page_id", F.when(first == "www", "0").when(first == "blog", "1").when(first == "m", "2").otherwise(F.regexp_extract("url", r"(&|\?)page=([^&#]*)", 2)).alias("channel"))
+    return pick(load(spark, d, "pages").where("url LIKE '%?%'"), "page_id", F.when(first == "www", "0").when(first == "blog", "1").when(first == "m", "2").otherwise(F.regexp_extract("url", r"(&|\?)page=([^&#]*)", 2)).alias("channel"))
 
 
 @query("SELECT page_id, split_part(url, '/', 4) AS dir1, split_part(url, '/', 5) AS dir2, split_part(url, '/', 6) AS dir3 FROM pages")
 def nexmark_q22(spark, d):
-    return load(spark, d, "pages").select("page_id", *[F.split_part("url", F.lit("/"), F.lit(k + 3)).alias(f"dir{k}") for k in (1, 2, 3)])
+    return pick(load(spark, d, "pages"), "page_id", *[F.split_part("url", F.lit("/"), F.lit(k + 3)).alias(f"dir{k}") for k in (1, 2, 3)])

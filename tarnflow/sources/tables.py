@@ -15,12 +15,15 @@ SCHEMAS = {
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "pages": "page_id bigint, url string, html string",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
 }
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by its frozen schema; filters and columns are pushed into the Parquet scan."""
+def load(spark: SparkSession, sf_dir: str | dict[str, DataFrame], name: str) -> DataFrame:
+    """A table by its frozen schema, or as given by name; filters and columns are pushed into the Parquet scan."""
+    if isinstance(sf_dir, dict):
+        return sf_dir[name]
     path = f"{sf_dir}/{name}.parquet"
     return spark.read.schema(SCHEMAS[name]).parquet(path) if name in SCHEMAS else spark.read.parquet(path)
 
