@@ -6,6 +6,8 @@ run the batch query over the rows of touched keys.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions import temporal as D
 from ..operators import ordering as O
 from ..sources import SCHEMAS, load
 from ..sources.changes import WEIGHT
-from ..streaming import Aggregate, Join, Keyed, Linear, Source
+from ..streaming import Aggregate, Join, Keyed, Linear, Source, compile_sql
 from . import nexmark as N
 from .incremental import maintained
 
@@ -128,3 +130,25 @@ _keyed("nexmark_q16", {"events": ["event_type", _DAY]})
 _keyed("nexmark_q17", {"events": ["user_id", _DAY]})
 _keyed("nexmark_q18", {"lineitem": ["l_suppkey", "l_returnflag"]})
 _keyed("nexmark_q19", {"lineitem": ["l_suppkey"]})
+
+
+#: Views from SQL text, with the way that each is maintained.
+STATEMENTS = {
+    "sql_filter": ("SELECT event_id, value * 2 AS twice FROM events WHERE event_type = 'purchase' AND value > 10", "linear"),
+    "sql_union_all": ("WITH low AS (SELECT event_id, 'low' AS kind FROM events WHERE value < 20) SELECT * FROM low UNION ALL SELECT event_id, 'high' FROM events WHERE value > 90", "linear"),
+    "sql_group": ("SELECT user_id, event_type, count(*) AS n, min(value) AS lo, max(value) AS hi FROM events WHERE value > 5 GROUP BY user_id, event_type HAVING count(*) > 1", "keyed"),
+    "sql_top": ("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) AS t WHERE n <= 2", "keyed"),
+    "sql_join": ("SELECT c.c_custkey, count(*) AS n, count(o.o_orderkey) AS orders FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 100000 GROUP BY c.c_custkey", "whole"),
+    "sql_exists": ("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)", "whole"),
+    "sql_limit": ("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20", "whole"),
+}
+
+
+def _statement(name: str, sql: str) -> None:
+    names = [n for n in SOURCES if re.search(rf"\b{n}\b", sql)]
+    QUERIES[f"incremental_{name}"] = lambda spark, d: maintained(spark, d, compile_sql(spark, sql, [SOURCES[n] for n in names])[0], names, name)
+    SQL[f"incremental_{name}"] = sql
+
+
+for _name, (_sql, _) in STATEMENTS.items():
+    _statement(_name, _sql)

@@ -198,3 +198,16 @@ def test_predecessor(spark):
     assert {(r.id, r.r) for r in got.where("id in (3, 4, 5)").collect()} == {(3, None), (4, None), (5, None)}
     strict = joins.predecessor(left, right, ["key"], "t", "rt", ["rid"], {"rid": "r"}, strict=True)
     assert {(r.id, r.r) for r in strict.where("id = 1").collect()} == {(1, 1)}
+
+
+def test_statements(spark):
+    from tarnflow.plans.maintained import SOURCES, STATEMENTS
+    from tarnflow.streaming import compile_sql
+
+    for name, (sql, how) in STATEMENTS.items():
+        assert compile_sql(spark, sql, list(SOURCES.values()))[1] == how, name
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("__")]
+    events = [SOURCES["events"]]
+    for bad, why in (("DROP TABLE events", "one SELECT"), ("SELECT rand() AS r FROM events", "deterministic"), ("SELECT nothing FROM events", "nothing"), ("SELECT 1 AS one", "none of"), ("SELECT * FROM orders", "orders")):
+        with pytest.raises(Exception, match=why):
+            compile_sql(spark, bad, events)
