@@ -208,6 +208,6 @@ def test_statements(spark):
         assert compile_sql(spark, sql, list(SOURCES.values()))[1] == how, name
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("__")]
     events = [SOURCES["events"]]
-    for bad, why in (("DROP TABLE events", "one SELECT"), ("SELECT rand() AS r FROM events", "deterministic"), ("SELECT nothing FROM events", "nothing"), ("SELECT 1 AS one", "none of"), ("SELECT * FROM orders", "orders")):
+    for bad, why in (("DROP TABLE events", "one SELECT"), ("SELECT rand() AS r FROM events", "deterministic"), ("SELECT nothing FROM events", "nothing"), ("SELECT 1 AS one", "none of"), ("SELECT * FROM orders", "none of"), ("SELECT o_custkey FROM events JOIN orders ON true", "orders")):
         with pytest.raises(Exception, match=why):
             compile_sql(spark, bad, events)
