@@ -26,6 +26,16 @@ def unpack_array(data: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=dtype)
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers that are mostly small: their bytes sorted by significance, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_small(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_texts(texts: list[bytes]) -> tuple[bytes, bytes]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     return zstandard.ZstdCompressor(level=3).compress(b"".join(texts)), pack_array(sizes)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .packed import pack_array, pack_texts, unpack_array, unpack_texts
+from .packed import pack_array, pack_small, pack_texts, unpack_array, unpack_small, unpack_texts
 from .pretokens import chunks_of, encoder
 
 #: Bytes of text in a block, and bytes of distinct pre-tokens (of all blocks) in a range, about.
@@ -39,10 +39,17 @@ def _frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 hashed = sorted((zlib.crc32(c), c) for c in set().union(*freqs))
                 number = {c: k for k, (_, c) in enumerate(hashed)}
                 total = sum(map(len, freqs))
-                which = np.fromiter((number[c] for f in freqs for c in f), np.uint32, total)
-                often = np.fromiter((n for f in freqs for n in f.values()), np.uint32, total)
+                which = np.fromiter((number[c] for f in freqs for c in f), np.int64, total)
+                often = np.fromiter((n for f in freqs for n in f.values()), np.int64, total)
+                # ascending in each document, as differences
+                distinct = np.array([len(f) for f in freqs], np.int64)
+                order = np.argsort(np.repeat(np.arange(len(freqs)) << 32, distinct) + which)
+                which, often = which[order], often[order]
+                steps = np.diff(which, prepend=0)
+                first = (np.cumsum(distinct) - distinct)[distinct > 0]
+                steps[first] = which[first]
                 tokens, lengths = pack_texts([c for _, c in hashed])
-                out = {"block": f"{TaskContext.get().partitionId()}-{count}", "ids": ids, "sizes": sizes, "distinct": [len(f) for f in freqs], "which": pack_array(which), "often": pack_array(often)}
+                out = {"block": f"{TaskContext.get().partitionId()}-{count}", "ids": ids, "sizes": sizes, "distinct": distinct.tolist(), "which": pack_small(steps), "often": pack_small(often)}
                 out |= {"hashes": pack_array(np.array([h for h, _ in hashed], np.uint32)), "tokens": tokens, "lengths": lengths, "held": sum(len(c) for _, c in hashed)}
                 count += 1
                 return pa.RecordBatch.from_arrays([pa.array([out[n]], t) for n, t in _TYPES.items()], names=list(_TYPES))
@@ -100,17 +107,21 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
             if new:
                 ids = own.learn(new)
                 pieces.update((c, len(ids[c]) // 4) for c in new)
-            out.append(pack_array(np.fromiter(map(pieces.__getitem__, here), np.uint32, len(here))))
+            out.append(pack_small(np.fromiter(map(pieces.__getitem__, here), np.uint32, len(here))))
         return pa.table({"r": table.column("r"), "block": table.column("block"), "pieces": pa.array(out, pa.binary())})
 
     def add(batches):
         for row in _rows(batches):
             n = len(row["ids"])
-            pieces = [unpack_array(x["pieces"], np.uint32) for x in sorted(row["answers"] or [], key=lambda x: x["r"])]
-            each = np.concatenate([*pieces, np.zeros(0, np.uint32)]).astype(np.int64)[unpack_array(row["which"], np.uint32)] * unpack_array(row["often"], np.uint32)
-            ends = np.cumsum(row["distinct"])
+            pieces = [unpack_small(x["pieces"]) for x in sorted(row["answers"] or [], key=lambda x: x["r"])]
+            distinct = np.array(row["distinct"], np.int64)
+            ends = np.cumsum(distinct)
+            steps = unpack_small(row["which"]).astype(np.int64)
+            sums = np.concatenate([[0], np.cumsum(steps)])
+            which = sums[1:] - np.repeat(sums[ends - distinct], distinct)
+            each = np.concatenate([*pieces, np.zeros(0, np.uint32)]).astype(np.int64)[which] * unpack_small(row["often"])
             total = np.concatenate([[0], np.cumsum(each)])
-            tokens = total[ends] - total[ends - np.array(row["distinct"])]
+            tokens = total[ends] - total[ends - distinct]
             yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["sizes"], pa.int64()), pa.array(tokens, pa.int64()), pa.array(tokens > limit, pa.bool_(), size=n)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     sent = blocks.select("block", "hashes", "tokens", "lengths").mapInArrow(send, "r int, block string, tokens binary, lengths binary")
