@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .exchange import dealt
 from .packed import pack_array, pack_small, pack_texts, unpack_array, unpack_small, unpack_texts
 from .pretokens import chunks_of, encoder
 
@@ -88,7 +89,8 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     Other columns of `docs` are not read, whatever their names.
     """
     blocks = materialize(_frequencies(docs, id_col, text_col), "frequencies")
-    ranges = max(1, (blocks.agg(F.sum("held")).first()[0] or 0) // RANGE)
+    held, n_blocks = blocks.agg(F.sum("held"), F.count("*")).first()
+    ranges = max(1, (held or 0) // RANGE)
 
     def send(batches):
         for row in _rows(batches):
@@ -126,5 +128,5 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     sent = blocks.select("block", "hashes", "tokens", "lengths").mapInArrow(send, "r int, block string, tokens binary, lengths binary")
     counted = sent.repartition(ranges, "r").groupBy("r").applyInArrow(count, "r int, block string, pieces binary")
-    answers = counted.groupBy("block").agg(F.collect_list(F.struct("r", "pieces")).alias("answers"))
-    return blocks.select("block", "ids", "sizes", "distinct", "which", "often").join(answers, "block", "left").mapInArrow(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    answers = dealt(counted, n_blocks).groupBy("block").agg(F.collect_list(F.struct("r", "pieces")).alias("answers"))
+    return dealt(blocks.select("block", "ids", "sizes", "distinct", "which", "often"), n_blocks).join(answers, "block", "left").mapInArrow(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -9,6 +9,7 @@ forest, never its pairs.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -20,10 +21,16 @@ from .common import components, materialize
 from .forest import forest
 
 #: Vectors that the codebooks are fitted on at most, and queries of the brute-force trial.
-FIT_ROWS, TRIAL = 16_384, 384
+FIT_ROWS, TRIAL = 16_384, 2048
+#: Codewords of a half at most, and cells up to which their loads, a row each, are broadcast.
+CODEWORDS, FEW_CELLS = 2048, 65_536
+#: Pairs of the trial at which it is trusted half as much again.
+MARGIN = 100
 #: Members and queries of a piece, about.
 MEMBERS, PROBES = 1024, 4096
 
+_log = logging.getLogger("tarnflow")
+
 
 def fit_codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """k-means in numpy; empty codewords take the farthest points."""
@@ -74,11 +81,12 @@ class Grid:
     def ranks(self, u: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """For each vector, how many cells come before a given one."""
         out = np.empty(len(u), dtype=np.int64)
-        for k in range(0, len(u), 512):
-            a, b = self._distances(u[k : k + 512])
+        step = max(1, (1 << 24) // (len(self.books[0]) * self.k))
+        for k in range(0, len(u), step):
+            a, b = self._distances(u[k : k + step])
             row = np.arange(len(a))
-            at = a[row, cells[k : k + 512] // self.k] + b[row, cells[k : k + 512] % self.k]
-            out[k : k + 512] = ((a[:, :, None] + b[:, None, :]) < at[:, None, None]).sum((1, 2))
+            at = a[row, cells[k : k + step] // self.k] + b[row, cells[k : k + step] % self.k]
+            out[k : k + step] = ((a[:, :, None] + b[:, None, :]) < at[:, None, None]).sum((1, 2))
         return out
 
 
@@ -94,7 +102,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.99, i
 
     Two vectors link if their cosine in double precision is at least `least` and the search finds them; none below it is
     linked. The number of visited cells is such that a brute-force trial of up to TRIAL queries against all rows finds the
-    share `recall` of its pairs, and 16 at least. Codebooks are fitted on the FIT_ROWS vectors of least hash; every row is indexed.
+    share `recall` of its pairs from the side of the query alone, and 16 at least; what it found is logged. Codebooks are fitted on the FIT_ROWS vectors of least hash; every row is indexed.
 
     Null or empty vectors, those with null or non-finite components, zero ones, and those
     of another dimension than most link with nothing; so do rows with a null id, whose component is null and kept false. Equal vectors,
@@ -112,12 +120,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.99, i
     own = materialize(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("gid"), F.count("*").alias("c")), "vectors")
     n = own.count()
     sample = units(pa.array([r.v for r in own.orderBy(F.xxhash64("v"), "v").limit(FIT_ROWS).select("v").collect()]))
-    k = int(min(256, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(n / 8)))))))
+    k = int(min(CODEWORDS, max(1, 2 ** round(math.log2(max(1.0, math.sqrt(n / 8)))))))
     h = max(1, size.d // 2)
     grid = Grid(fit_codebook(sample[:, :h], k), fit_codebook(sample[:, h:], k)) if size.d > 1 else Grid(fit_codebook(sample, k), np.zeros((1, 0)))
     cells = len(grid.books[0]) * grid.k
     trial = sample[:TRIAL]
-    trial_cells = grid.cells(trial)
 
     def measure(batches):
         for batch in batches:
@@ -127,8 +134,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.99, i
             q, m = np.nonzero(trial @ u.T >= least)
             other = (trial[q] != u[m]).any(1)
             q, m = q[other], m[other]
-            rank = np.minimum(grid.ranks(trial[q], grid.cells(u[m])), grid.ranks(u[m], trial_cells[q])) if len(q) else np.zeros(0, np.int64)
-            value, count = np.unique(rank, return_counts=True)
+            # how many cells the trial vector visits before the other's; the other may find it earlier, which is not counted on
+            pairs, n = np.unique(q * cells + (grid.cells(u[m]) if len(m) else 0), return_counts=True)
+            value, where = np.unique(grid.ranks(trial[pairs // cells], pairs % cells), return_inverse=True)
+            count = np.bincount(where, weights=n, minlength=len(value)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(count, pa.int64())], names=["rank", "n"])
 
     found = sorted((r["rank"], r["n"]) for r in own.select("v").mapInArrow(measure, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect())
@@ -137,7 +146,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.99, i
         if seen >= recall * total:
             break
         seen, visits = seen + x, max(visits, rank + 1)
-    visits = min(visits, cells)
+    # the fewer pairs the trial had, the wider the margin
+    visits = min(math.ceil(visits * (1 + MARGIN / (total + MARGIN))), cells)
+    _log.info("%d pairs in the trial, %d of %d cells visited, expected recall %s", total, visits, cells, round(seen / total, 4) if total else "not measured")
 
     def place(batches):
         for batch in batches:
@@ -147,10 +158,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, recall: float = 0.99, i
                 yield pa.RecordBatch.from_arrays([part.column("gid"), part.column("c"), pa.array(grid.cells(u), pa.int32()), pa.array(list(grid.visits(u, visits).astype(np.int32)), pa.list_(pa.int32())), part.column("v")], names=["gid", "c", "cell", "visits", "v"])
 
     placed = materialize(own.select("gid", "c", "v").mapInArrow(place, "gid long, c long, cell int, visits array<int>, v array<double>"), "placed")
-    # rows of this table are cells, at most 256 * 256
+    few = F.broadcast if cells <= FEW_CELLS else (lambda df: df)  # rows of this table are cells
     held = placed.groupBy(F.col("cell").alias("to")).agg(F.count("*").alias("m"))
     asked = placed.select(F.explode("visits").alias("to")).groupBy("to").agg(F.count("*").alias("q"))
-    load = F.broadcast(held.join(asked, "to").select("to", F.ceil(F.col("m") / MEMBERS).alias("mi"), F.ceil(F.col("q") / PROBES).alias("qi")))
+    load = few(held.join(asked, "to").select("to", F.ceil(F.col("m") / MEMBERS).alias("mi"), F.ceil(F.col("q") / PROBES).alias("qi")))
     salt = F.xxhash64("gid")
     members = placed.withColumn("to", F.col("cell")).join(load, "to").withColumn("i", F.pmod(salt, F.col("mi"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qi") - 1)))
     probes = placed.withColumn("to", F.explode("visits")).join(load, "to").withColumn("j", F.pmod(salt, F.col("qi"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mi") - 1)))
