@@ -17,12 +17,12 @@ import numpy as np
 from .common import kept, tokenizer_path
 
 #: Pre-tokens of up to LONGEST bytes that a worker process remembers; beyond it the memory starts anew. Results don't depend on it.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 1_500_000, 64
 PUNCTUATION = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 #: Words that are handed to the library as one text.
 TOGETHER = 50
 #: Bytes of text whose chunks are looked up at once.
-BLOCK = 1_000_000
+BLOCK = 4_000_000
 
 
 def chunks_of(text: bytes) -> list[bytes]:
@@ -38,8 +38,7 @@ def _letters(text: str) -> bool:
 
     Letters of later scripts are left out, as releases of Unicode differ about them.
     """
-    low = unicodedata.normalize("NFC", text).lower()
-    return text.isalpha() and low.isalpha() and max(text) < "\u0530" and max(low) < "\u0530"
+    return text.isalpha() and max(text) < "\u0530" and unicodedata.normalize("NFC", text).lower().isalpha()
 
 
 class ChunkEncoder:
@@ -77,20 +76,25 @@ class ChunkEncoder:
             known.clear()
         new = [c for c in chunks if c not in known]
         self.passing = [c for c in new if len(c) > LONGEST]
-        apart: dict[bytes, tuple[bytes, bytes]] = {}
+        apart: list[tuple[bytes, bytes, bytes]] = []
         words: dict[bytes, str] = {}
         other: set[bytes] = set()
         for c in new:
             core = c.rstrip(PUNCTUATION)
-            text = core.decode("utf-8", "replace")
-            if text and _letters(text):
-                apart[c] = (core, c[len(core) :])
-                if core not in known:
-                    words[core] = text
-                if len(core) < len(c) and c[len(core) :] not in known:
-                    other.add(c[len(core) :])
+            if core.isalpha():  # ASCII
+                text = core.decode("ascii")
             else:
-                other.add(c)
+                text = core.decode("utf-8", "replace")
+                if not text or not _letters(text):
+                    other.add(c)
+                    continue
+            if core not in known:
+                words[core] = text
+            if len(core) < len(c):
+                tail = c[len(core) :]
+                apart.append((c, core, tail))
+                if tail not in known:
+                    other.add(tail)
         for (core, _), (_, ids) in zip(words.items(), self._words(list(words.values())), strict=True):
             known[core] = ids
         rest = list(other)
@@ -98,9 +102,8 @@ class ChunkEncoder:
             part = rest[at : at + 1000]
             for c, e in zip(part, self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
                 known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for c, (core, tail) in apart.items():
-            if tail:
-                known[c] = known[core] + known[tail]
+        for c, core, tail in apart:
+            known[c] = known[core] + known[tail]
         return known
 
 
