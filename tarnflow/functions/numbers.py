@@ -56,6 +56,11 @@ def round_half_away(x, n: int = 0) -> Column:
     return F.round(_c(x), n)
 
 
+def round_double(x, n: int = 0) -> Column:
+    """A double times 10^n, rounded half away from zero and divided again, as DuckDB does it; F.round goes by the digits that are printed."""
+    return F.round(_c(x) * 10.0**n) / 10.0**n
+
+
 def trunc(x, n: int = 0) -> Column:
     """Digits behind the n-th decimal place are cut off."""
     x = _c(x)
