@@ -317,3 +317,36 @@ def test_banded_distance_of_the_whole():
     a = np.frombuffer(b"abcdefghijkl", np.uint8)
     assert banded_distance(a, a, 0, 0, 0) == (0, 0, 12)
     assert banded_distance(a, np.frombuffer(b"xxabcdefXghijkl", np.uint8), 0, 4, 2)[0] == 1
+
+
+def test_answers_of_a_range_take_little_memory():
+    """Right totals and first holders, within 55 bytes a value: executors share their memory with two such workers."""
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from tarnflow.llm import exchange
+    from tarnflow.llm.packed import pack_array, pack_ints, unpack_array
+
+    r = np.random.default_rng(1)
+    sets = [np.unique(np.concatenate([r.integers(0, 1 << 63, 8000, dtype=np.uint64), np.arange(40, dtype=np.uint64)])) for _ in range(60)]
+    counts = [None if k % 7 == 0 else r.integers(1, 4, len(s)).astype(np.uint32) for k, s in enumerate(sets)]
+    counts[1][0] = 2**32 - 1  # with others the total is too large for 32 bits
+    names = [f"{k:03}" for k in range(len(sets))]
+    turn = r.permutation(len(sets))
+    table = pa.table({"r": pa.array([3] * len(sets), pa.int32()), "block": [names[k] for k in turn], "own": pa.array([pack_ints(sets[k]) for k in turn], pa.binary()), "n": pa.array([None if counts[k] is None else pack_array(counts[k]) for k in turn], pa.binary())})
+    tracemalloc.start()
+    got = exchange._answer(table).sort_by("block").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 55 * sum(map(len, sets))
+    total, held = Counter(), set()
+    for s, n in zip(sets, counts, strict=True):
+        total.update(dict(zip(s.tolist(), [1] * len(s) if n is None else n.tolist(), strict=True)))
+    for name, s, row in zip(names, sets, got, strict=True):
+        values = s.tolist()
+        bits = lambda c: np.unpackbits(unpack_array(row[c], np.uint8), count=len(values)).astype(bool).tolist()  # noqa: B023, E731
+        assert row["block"] == name and bits("more") == [total[v] > 1 for v in values] and bits("first") == [v not in held for v in values]
+        assert unpack_array(row["totals"], np.uint32).tolist() == [min(total[v], 2**32 - 1) for v in values if total[v] > 1]
+        held.update(values)
