@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, kept
+from .common import filter_rows, kept, release
 from .shingles import blocks
 
 #: Words of a window and between the starts of two windows.
@@ -27,6 +27,8 @@ HIDDEN, WORD, CHAR, VOCABULARY, TRIGRAMS = 8, 6, 6, 6000, 8192
 TRAIN_ROWS, TRAIN_BYTES = 4000, 12_000
 #: Words a worker process remembers; beyond it the memory starts anew.
 REMEMBERED = 150_000
+#: Windows that training scores at once; the driver has little memory beside its JVM.
+SLICE = 512
 _PLAIN = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256))
 
 
@@ -179,11 +181,11 @@ class Toxicity:
     @staticmethod
     def table(words: list[bytes], vocabulary: dict[bytes, int]):
         """(word ids, trigram buckets, weights) of distinct words."""
-        tri = [trigrams_of(w) for w in words]
-        most = max([len(t) for t in tri], default=1)
-        at = np.zeros((len(words), most), np.int32)
+        most = max([1, *(len(w.decode("utf-8", "replace")) for w in words)])  # a word has as many trigrams as characters
+        at = np.zeros((len(words), most), np.int16)
         weight = np.zeros((len(words), most), np.float32)
-        for k, t in enumerate(tri):
+        for k, w in enumerate(words):  # not all lists at once: they take more than the arrays
+            t = trigrams_of(w)
             at[k, : len(t)] = t
             weight[k, : len(t)] = 1 / len(t)
         return np.array([vocabulary.get(w, 0) for w in words], np.int32), at, weight
@@ -213,20 +215,25 @@ class Toxicity:
         x = net.inputs(*table)
         odds = x[:, 0] + x[:, WORD]
         odds[0] = 0
-        spans, owner = [], []
-        for k, ids in enumerate(docs):
-            for s in window_starts(len(ids)):
-                spans.append(np.pad(ids[s : s + WINDOW], (0, max(0, WINDOW - len(ids)))))
-                owner.append(k)
-        if not spans or y.min() == y.max():  # nothing to learn from: every score is 0.5
+        starts = [window_starts(len(ids)) for ids in docs]
+        owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
+        if not len(owner) or y.min() == y.max():  # nothing to learn from: every score is 0.5
             net.p["o"][:] = 0
             return cls(net, vocabulary)
-        spans, owner = np.stack(spans), np.array(owner)
-        score = np.maximum(odds[spans], 0).max(1) + 0.1 * odds[spans].mean(1)
+        spans, score, at = np.zeros((len(owner), WINDOW), np.int32), np.empty(len(owner), np.float32), 0
+        for ids, own in zip(docs, starts, strict=True):
+            for s in own:
+                part = ids[s : s + WINDOW]
+                spans[at, : len(part)] = part
+                at += 1
+        del docs, number, words, starts, x
+        for k in range(0, len(spans), SLICE):
+            part = odds[spans[k : k + SLICE]]
+            score[k : k + SLICE] = np.maximum(part, 0).max(1) + 0.1 * part.mean(1)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
         step = 0
         # few texts take more rounds, so that the number of steps suffices
-        rounds = max(rounds, min(40, -(-160 // -(-len(docs) * 3 // (2 * batch)))))
+        rounds = max(rounds, min(40, -(-160 // -(-len(y) * 3 // (2 * batch)))))
         for turn in range(rounds):
             order = np.lexsort((-score, owner))
             top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]  # each text's highest window
@@ -249,9 +256,9 @@ class Toxicity:
                     net.p[name] -= (rate * (0.3 if turn == rounds - 1 else 1) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             if turn < rounds - 1:
                 gates = net.gates(net.inputs(*table))
-                for k in range(0, len(spans), 2048):
-                    ids = np.ascontiguousarray(spans[k : k + 2048].T)
-                    score[k : k + 2048] = net.run({w: v[ids] for w, v in gates.items()}, (ids > 0).astype(np.float32))
+                for k in range(0, len(spans), SLICE):
+                    ids = np.ascontiguousarray(spans[k : k + SLICE].T)
+                    score[k : k + SLICE] = net.run({w: v[ids] for w, v in gates.items()}, (ids > 0).astype(np.float32))
         return cls(net, vocabulary)
 
     def _learn(self, words: set[bytes]) -> None:
@@ -311,7 +318,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
     got = []
     for label in (0, 1):
         got += joined.where(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows // 2).select("text", "y").collect()
-    return Toxicity.fit([bytes(r.text) for r in got], [r.y for r in got])
+    texts, y = [bytes(r.text) for r in got], [r.y for r in got]
+    del got
+    model = Toxicity.fit(texts, y)
+    del texts
+    release()
+    return model
 
 
 def held_out(doc_id):

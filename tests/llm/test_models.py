@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -278,3 +279,14 @@ def test_vectors(spark, monkeypatch, members, probes):
         assert got[i] == (0, i, True)
     assert got[None] == (0, None, False)
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_training_memory():
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(5, 12))) for _ in range(12_000)]
+    texts = [" ".join(r.choices(words, k=900)).encode() for _ in range(90)]
+    tracemalloc.start()
+    Toxicity.fit(texts, [k % 2 for k in range(90)], rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30_000_000
