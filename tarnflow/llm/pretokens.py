@@ -52,16 +52,16 @@ class ChunkEncoder:
         self.ids: dict[bytes, bytes] = {}
         self.passing: list[bytes] = []
 
-    def _words(self, words: list[str]):
-        """Ids of words of letters only: each is one pre-token, so many go into one text."""
+    def _words(self, words: list[bytes]):
+        """Words of letters only with their ids: each is one pre-token, so many go into one text."""
         for at in range(0, len(words), TOGETHER):
             part = words[at : at + TOGETHER]
-            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            e = self.library.encode(b" ".join(part).decode(), add_special_tokens=False)
             ids, of = np.asarray(e.ids, dtype="<u4"), np.asarray(e.word_ids, dtype=np.int64)
             cuts = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
             if cuts[-1] != len(ids) or of[-1] != len(part) - 1:  # not one pre-token each after all
                 for w in part:
-                    yield w, np.asarray(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                    yield w, np.asarray(self.library.encode(w.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
                 continue
             raw = ids.tobytes()
             for k, w in enumerate(part):
@@ -74,35 +74,31 @@ class ChunkEncoder:
             known.pop(c, None)
         if len(known) > REMEMBERED:
             known.clear()
-        new = [c for c in chunks if c not in known]
+        new = list(chunks.difference(known))
         self.passing = [c for c in new if len(c) > LONGEST]
-        apart: list[tuple[bytes, bytes, bytes]] = []
-        words: dict[bytes, str] = {}
+        # lists side by side instead of tuples, which the collector would walk over again and again
+        apart: list[bytes] = []
+        cores: list[bytes] = []
+        tails: list[bytes] = []
+        words: set[bytes] = set()
         other: set[bytes] = set()
-        for c in new:
-            core = c.rstrip(PUNCTUATION)
-            if core.isalpha():  # ASCII
-                text = core.decode("ascii")
-            else:
-                text = core.decode("utf-8", "replace")
-                if not text or not _letters(text):
-                    other.add(c)
-                    continue
-            if core not in known:
-                words[core] = text
+        for c, core in zip(new, [c.rstrip(PUNCTUATION) for c in new], strict=True):
+            if not core.isalpha() and not _letters(core.decode("utf-8", "replace")):  # not ASCII letters, nor others
+                other.add(c)
+                continue
+            words.add(core)
             if len(core) < len(c):
-                tail = c[len(core) :]
-                apart.append((c, core, tail))
-                if tail not in known:
-                    other.add(tail)
-        for (core, _), (_, ids) in zip(words.items(), self._words(list(words.values())), strict=True):
-            known[core] = ids
-        rest = list(other)
+                apart.append(c)
+                cores.append(core)
+                tails.append(c[len(core) :])
+        known.update(self._words(list(words.difference(known))))
+        other.update(tails)
+        rest = list(other.difference(known))
         for at in range(0, len(rest), 1000):
             part = rest[at : at + 1000]
             for c, e in zip(part, self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
                 known[c] = np.asarray(e.ids, dtype="<u4").tobytes()
-        for c, core, tail in apart:
+        for c, core, tail in zip(apart, cores, tails, strict=True):
             known[c] = known[core] + known[tail]
         return known
 

@@ -1,6 +1,8 @@
 """The text operators against brute force, with nulls, empty and long texts, ties, repeated rows and empty tables."""
 
+import gc
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -16,7 +18,7 @@ from tarnflow.llm.common import components, tokenizer_path
 from tarnflow.llm.decontaminate import Items, banded_distance, leaks, normalise, without_leaks
 from tarnflow.llm.exchange import even_keys
 from tarnflow.llm.packing import pack, plan
-from tarnflow.llm.pretokens import encoded
+from tarnflow.llm.pretokens import ChunkEncoder, encoded
 from tarnflow.llm.suffix_dedup import remove_repeats
 from tarnflow.llm.token_counts import token_counts
 from tarnflow.llm.token_files import TokenFileReader, open_token_file, token_file_roundtrip, write_token_files
@@ -350,3 +352,21 @@ def test_answers_of_a_range_take_little_memory():
         assert row["block"] == name and bits("more") == [total[v] > 1 for v in values] and bits("first") == [v not in held for v in values]
         assert unpack_array(row["totals"], np.uint32).tolist() == [min(total[v], 2**32 - 1) for v in values if total[v] > 1]
         held.update(values)
+
+
+def test_learning_leaves_the_collector_alone():
+    own = ChunkEncoder("word_bpe_49k.json")
+    words = ["".join(x) for x in itertools.product("abcdefgh", repeat=5)][:30_000]
+    words[::100] = [f"{w}é" for w in words[::100]]
+    chunks = {f"{w},".encode() for w in words}
+    runs = []
+    count = lambda phase, info: runs.append(phase)
+    gc.collect()
+    gc.callbacks.append(count)
+    try:
+        known = own.learn(chunks)
+    finally:
+        gc.callbacks.remove(count)
+    assert runs.count("start") <= 3
+    for c in sorted(chunks)[::500]:
+        assert known[c] == np.asarray(own.library.encode(c.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
