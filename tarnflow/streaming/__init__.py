@@ -3,6 +3,6 @@
 from . import zset
 from .driver import decode_log, encode_log, start
 from .graph import Aggregate, Constant, Join, Keyed, Linear, Source, Union, View
-from .sql import compile_sql
+from .sql import columns_read, compile_sql, restored
 
-__all__ = ["Aggregate", "Constant", "Join", "Keyed", "Linear", "Source", "Union", "View", "compile_sql", "decode_log", "encode_log", "start", "zset"]
+__all__ = ["Aggregate", "Constant", "Join", "Keyed", "Linear", "Source", "Union", "View", "columns_read", "compile_sql", "decode_log", "encode_log", "restored", "start", "zset"]

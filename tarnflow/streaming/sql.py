@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.changes import WEIGHT
 from . import zset
@@ -57,6 +58,29 @@ def run(sql: str, tables: dict[str, DataFrame]) -> DataFrame:
             spark.catalog.dropTempView(f"__{name}_{tag}")
 
 
+def columns_read(spark: SparkSession, make, schemas: dict[str, str]) -> dict[str, list[str]]:
+    """The columns of each table that the result of `make(tables)` depends on, by Spark's optimized plan; all of them where it can't tell."""
+    tables = {n: spark.createDataFrame(spark.sparkContext.emptyRDD(), s) for n, s in schemas.items()}
+    plan = make(tables)._jdf.queryExecution().optimizedPlan()
+    nodes = list(_walk(plan))
+    leaves = [p for p in nodes if _name(p) == "LogicalRDD"]
+    used = {a.exprId().id() for p in nodes if p not in leaves for a in _seq(p.references().toSeq())} | {a.exprId().id() for a in _seq(plan.output())}
+    read: dict[str, set] = {n: set() for n in tables}
+    for p in leaves:
+        own = [(a.name(), a.exprId().id()) for a in _seq(p.output())]
+        table = next((n for n, df in tables.items() if df.columns == [c for c, _ in own]), None)
+        if table is None:
+            return {n: df.columns for n, df in tables.items()}
+        read[table] |= {c for c, k in own if k in used}
+    return {n: [c for c in df.columns if c in read[n]] if read[n] else df.columns for n, df in tables.items()}
+
+
+def restored(df: DataFrame, schema: str) -> DataFrame:
+    """All columns of a schema (of `df` first the weight, if it has one); null where the plan was found not to read them."""
+    whole = StructType.fromDDL(schema)
+    return df.select(*[F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in whole], *[c for c in df.columns if c == WEIGHT])
+
+
 def _keys(nodes: list, columns: list[str]) -> list[str]:
     """Columns of the only source that every grouping and partitioning goes by."""
     leaves = [p for p in nodes if _name(p) in _LEAVES]
@@ -102,4 +126,6 @@ def compile_sql(spark: SparkSession, sql: str, sources: list[Source]) -> tuple[N
         return Linear(used[0], both), "linear"
     columns = empty[read[0]].columns
     keys = _keys(nodes, columns) if plain and len(used) == 1 else []
-    return Keyed(list(used), keys, lambda *dfs: run(sql, dict(zip(read, dfs, strict=True)))), "keyed" if keys else "whole"
+    kept = columns_read(spark, lambda tables: run(sql, tables), {s.name: s.schema for s in used})
+    narrow = [Linear(s, lambda df, s=s: df.select(*dict.fromkeys([*keys, *kept[s.name]]), *[c for c in df.columns if c == WEIGHT])) for s in used]
+    return Keyed(narrow, keys, lambda *dfs: run(sql, {s.name: restored(df, s.schema) for s, df in zip(used, dfs, strict=True)})), "keyed" if keys else "whole"

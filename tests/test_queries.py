@@ -70,3 +70,15 @@ def test_q17_rounds_halves_like_its_sql(spark, tmp_path, name):
     con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     want = con.sql(plans.oracle_sql()[name]).df()
     assert rows(plans.queries()[name](spark, str(tmp_path)).toPandas()) == rows(want)
+
+
+def test_q13_keeps_times_and_not_bids(spark, oracle):
+    """A lookup by `k % 100` holds a share of all bids; what is looked up is each time once."""
+    from tarnflow.plans import maintained
+    from tarnflow.streaming import Aggregate, Keyed, View
+
+    graph = View(spark, maintained._q13(spark, SF), None)
+    looked_up = [n for n in graph.nodes if isinstance(n, Keyed) and n.keys == ["k"]]
+    assert len(looked_up) == 1 and isinstance(looked_up[0].children[0], Aggregate)
+    got = plans.queries()["incremental_nexmark_q13"](spark, SF).toPandas()
+    assert rows(got) == rows(oracle.sql(plans.oracle_sql()["nexmark_q13"]).df())

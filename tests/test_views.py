@@ -211,3 +211,23 @@ def test_statements(spark):
     for bad, why in (("DROP TABLE events", "one SELECT"), ("SELECT rand() AS r FROM events", "deterministic"), ("SELECT nothing FROM events", "nothing"), ("SELECT 1 AS one", "none of"), ("SELECT * FROM orders", "none of"), ("SELECT o_custkey FROM events JOIN orders ON true", "orders")):
         with pytest.raises(Exception, match=why):
             compile_sql(spark, bad, events)
+
+
+def test_a_tick_leaves_state_where_it_lies(spark, tmp_path, monkeypatch):
+    """State in buckets of its keys is joined and grouped without an exchange of it, and rows with null keys aren't lost."""
+    monkeypatch.setattr(graph, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(graph, "_buckets", lambda size: 4)
+    a = [(k if k % 50 else None, f"v{k}", 1) for k in range(400)]
+    view = View(spark, Keyed([A], ["k"], lambda d: d.groupBy("k").agg(F.max("v").alias("m"))), f"file://{tmp_path}/v")
+    view.step(0, {"a": z(spark, a, A.schema)})
+    view.step(1, {"a": z(spark, [(None, "z", 1), (7, "v7", -1)], A.schema)})
+    assert view.versions.part("a0")["buckets"] == 4
+    want = {}
+    for k, v, _ in [*a, (None, "z", 1)]:
+        if (k, v) != (7, "v7"):
+            want[k] = max(v, want.get(k, ""))
+    assert dict(bag(view.read())) == want
+    state = view.versions.open("a0", view.versions.part("a0"))
+    kept = zset.bag(zset.consolidate(zset.restrict(state, state.select("k").distinct(), dealt=True, null=False)))
+    plan = kept.groupBy("k").agg(F.max("v"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
