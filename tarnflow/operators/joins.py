@@ -40,16 +40,26 @@ def anti(left: DataFrame, right: DataFrame, condition) -> DataFrame:
     return left.join(right, condition, "left_anti")
 
 
-def band(left: DataFrame, right: DataFrame, keys: list[str], at: str, low: str, high: str, width: int) -> DataFrame:
+def band(left: DataFrame, right: DataFrame, keys: list[str], at: str, low: str, high: str, width: int, slices: int = 1) -> DataFrame:
     """Rows of `left` whose whole number `at` lies in right's low..high, both included, for equal keys.
 
     The range is cut into buckets of `width`, so this is an equi-join on keys and bucket instead of a comparison of all pairs;
     choose `width` about the usual high - low. A right row is copied to each bucket it touches, a left row goes to one.
+
+    Where keys and buckets are few and meet in very many pairs, left's rows of each are dealt to `slices` and right's are copied to all of them, so
+    that the pairs are made by several times as many tasks as there are cores, however small the inputs. Neither side is held as a whole.
     """
     l = left.withColumn("__b", F.floor(F.col(at) / width))
     r = right.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     r = r.where(F.col(low) <= F.col(high))
-    return l.join(r, [*keys, "__b"]).where(F.col(at).between(F.col(low), F.col(high))).drop("__b")
+    on = [*keys, "__b"]
+    if slices > 1:
+        on.append("__s")
+        l = l.withColumn("__s", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(slices)).cast("int"))
+        r = r.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).hint("merge")
+        spark = left.sparkSession
+        l = l.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *on)
+    return l.join(r, on).where(F.col(at).between(F.col(low), F.col(high))).drop("__b", "__s")
 
 
 def predecessor(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, tie: list[str], take: dict[str, str], strict: bool = False, bucket_us: int = temporal.DAY) -> DataFrame:

@@ -82,3 +82,11 @@ def test_q13_keeps_times_and_not_bids(spark, oracle):
     assert len(looked_up) == 1 and isinstance(looked_up[0].children[0], Aggregate)
     got = plans.queries()["incremental_nexmark_q13"](spark, SF).toPandas()
     assert rows(got) == rows(oracle.sql(plans.oracle_sql()["nexmark_q13"]).df())
+
+
+def test_a_band_join_is_dealt_to_many_tasks(spark, oracle):
+    """However small the tables, whose keys and buckets are few, no task makes a large share of the pairs."""
+    from pyspark.sql import functions as F
+
+    made = plans.queries()["join_band"](spark, SF.replace("0.001", "0.01")).groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(made) >= 2 * spark.sparkContext.defaultParallelism and made.max() <= made.sum() / 4
