@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tarnflow.operators import grouping, joins, ordering, setops, subqueries
 from tarnflow.sources import BagSink, KeyedSink, Relation, as_updates, generate_series, print_changes
 from tarnflow.streaming import graph
-from tarnflow.streaming import Aggregate, Constant, Join, Keyed, Linear, Source, Union, View, decode_log, encode_log, zset
+from tarnflow.streaming import Aggregate, Constant, Join, Keyed, Linear, Source, Union, View, append, decode_log, encode_log, start, zset
 
 A, B = Source("a", "k int, v string"), Source("b", "k int, x int")
 
@@ -231,3 +231,17 @@ def test_a_tick_leaves_state_where_it_lies(spark, tmp_path, monkeypatch):
     kept = zset.bag(zset.consolidate(zset.restrict(state, state.select("k").distinct(), dealt=True, null=False)))
     plan = kept.groupBy("k").agg(F.max("v"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_a_transaction_is_written_by_its_tasks(spark, tmp_path):
+    """A transaction of any size is one tick, but not one file that one task writes and reads; plain log files still count."""
+    log = f"file://{tmp_path}/log"
+    rows = [(k, k % 5, 1) for k in range(400)]
+    append(spark, log, encode_log({"b": z(spark, rows, B.schema).repartition(4)}))
+    append(spark, log, encode_log({"b": z(spark, [(7, 2, -1)], B.schema)}))
+    encode_log({"b": z(spark, [(900, 1, 1)], B.schema)}).coalesce(1).write.mode("append").parquet(log)
+    assert max(len(list(d.glob("source=b/*.parquet"))) for d in (tmp_path / "log" / "_rows").iterdir()) == 4
+    view = View(spark, B, f"file://{tmp_path}/v")
+    start(spark, log, [view], f"file://{tmp_path}/cp", available_now=True).awaitTermination()
+    assert view.versions.tick == 2
+    assert bag(view.read()) == sorted([(k, x) for k, x, _ in rows if k != 7] + [(900, 1)], key=str)
