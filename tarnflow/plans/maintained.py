@@ -166,7 +166,7 @@ def _tops(by: list[str], order: list, k: int, columns: list[str]):
 
 
 _put("nexmark_q18", ["lineitem"], lambda spark, d: _tops(["bidder", "channel"], [O.key("date_time", True), O.key("auction"), O.key("id")], 1, ["auction", "bidder", "price", "date_time", "id", "channel"]))
-_keyed("nexmark_q19", {"lineitem": ["l_suppkey"]})
+_put("nexmark_q19", ["lineitem"], lambda spark, d: _tops(["bidder"], [O.key("price", True), O.key("auction"), O.key("id")], 10, ["auction", "bidder", "price", "id"]))
 
 
 #: Views from SQL text, with the way that each is maintained.

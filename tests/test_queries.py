@@ -90,3 +90,18 @@ def test_a_band_join_is_dealt_to_many_tasks(spark, oracle):
 
     made = plans.queries()["join_band"](spark, SF.replace("0.001", "0.01")).groupBy(F.spark_partition_id()).count().toPandas()["count"]
     assert len(made) >= 2 * spark.sparkContext.defaultParallelism and made.max() <= made.sum() / 4
+
+
+@pytest.mark.parametrize("name", ["nexmark_q18", "nexmark_q19"])
+def test_first_rows_of_a_group_come_from_its_slices(spark, oracle, monkeypatch, name):
+    """A group may hold a fifth of all bids; the node that keeps all rows deals each group to several keys."""
+    from tarnflow.plans import maintained
+    from tarnflow.sources import load
+    from tarnflow.streaming import Keyed, View
+
+    graphs = []
+    monkeypatch.setattr(maintained, "maintained", lambda spark, d, out, names, name: graphs.append(out))
+    plans.queries()[f"incremental_{name}"](spark, SF)
+    view = View(spark, graphs[0])
+    assert "slice" in next(n for n in view.nodes if isinstance(n, Keyed)).keys
+    assert rows(view.batch({"lineitem": load(spark, SF, "lineitem")}).toPandas()) == rows(oracle.sql(plans.oracle_sql()[name]).df())
